@@ -61,7 +61,7 @@ _DAY = r"[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
 _CLOCK = r"([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"
 
 
-def _fits(v: Column, kind: str) -> Column:
+def fits(v: Column, kind: str) -> Column:
     """Whether a present value can be read as a type."""
     if kind in _INT_RANGE:
         low, high = _INT_RANGE[kind]
@@ -80,7 +80,7 @@ def _fits(v: Column, kind: str) -> Column:
     return F.lit(True)
 
 
-def _typed(v: Column, kind: str) -> Column:
+def typed(v: Column, kind: str) -> Column:
     if kind == "bool":
         return F.lower(v).isin("1", "true")
     if kind == "date":
@@ -109,7 +109,7 @@ def errors(df: DataFrame, raw: str, schema: TableSchema, key: Sequence[str], del
     whole = parsed.filter(F.col("__quoting") | F.col("__none") | (F.size("__cells") != width)).select(*names, "__content", F.when(F.col("__quoting"), 0).otherwise(1).alias("__rank"))
     cells = parsed.filter(~F.col("__quoting") & ~F.col("__none") & (F.size("__cells") == width)).select(*names, "__content", F.posexplode("__cells").alias("__place", "__cell"))
     value = cells.select(*names, "__content", "__place", _value(F.col("__cell"), quote).alias("__value"), F.col("__cell").startswith(quote).alias("__quoted"))
-    checks = functools.reduce(lambda w, k: w.when(F.col("__type") == k, _fits(F.col("__value"), k)), [k for k in TYPES if k != "string"], F.when(F.col("__type") == "string", True))
+    checks = functools.reduce(lambda w, k: w.when(F.col("__type") == k, fits(F.col("__value"), k)), [k for k in TYPES if k != "string"], F.when(F.col("__type") == "string", True))
     missing = ~F.col("__quoted") & (F.col("__value") == "")
     good = F.when(missing, F.col("__nullable") | (F.col("__type") == "string")).otherwise(checks)
     bad = value.join(F.broadcast(_rules(df, schema)), "__place").filter(~good).select(*names, "__content", F.lit(2).alias("__rank"))
@@ -145,5 +145,5 @@ def split_records(df: DataFrame, raw: str, schema: TableSchema, key: Sequence[st
         cell = F.get("__cells", F.lit(i))
         v = _value(cell, quote)
         empty = F.lit(None) if f.nullable else F.lit("") if f.type == "string" else F.lit(None)
-        cols.append(F.when(cell == "", empty.cast(TYPES[f.type])).otherwise(_typed(v, f.type)).alias(f.name))
+        cols.append(F.when(cell == "", empty.cast(TYPES[f.type])).otherwise(typed(v, f.type)).alias(f.name))
     return clean.select(*cols), rejected
