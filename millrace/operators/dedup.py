@@ -51,9 +51,14 @@ def deduplicate(df: DataFrame, key: str, earliest: Sequence[str]) -> DataFrame:
 
 
 def surplus(df: DataFrame, key: str, earliest: Sequence[str], row_id: str) -> DataFrame:
-    """The rows that :func:`deduplicate` leaves out. ``row_id`` must be unique and not NULL."""
-    kept = deduplicate(df, key, earliest).select(F.col(row_id).alias("__kept"))
-    return df.join(kept, F.col(row_id) == F.col("__kept"), "left_anti")
+    """The rows that :func:`deduplicate` by ``[*earliest, row_id]`` leaves out.
+
+    ``row_id`` must be unique and not NULL. Only the key, the order and the id take part in the aggregation.
+    """
+    order = [*earliest, *([] if row_id in earliest else [row_id])]
+    slim = df.select([F.col(f"`{c}`") for c in dict.fromkeys([key, *order])])
+    kept = deduplicate(slim, key, order).select(F.col(f"`{row_id}`").alias("__kept"))
+    return df.join(kept, F.col(f"`{row_id}`") == F.col("__kept"), "left_anti")
 
 
 def merge_batch(kept: DataFrame, batch: DataFrame, key: str, earliest: Sequence[str]) -> DataFrame:

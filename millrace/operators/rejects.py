@@ -96,7 +96,7 @@ def _rules(df: DataFrame, schema: TableSchema) -> DataFrame:
 
 
 def errors(df: DataFrame, raw: str, schema: TableSchema, key: Sequence[str], delimiter: str = ",", quote: str = '"') -> DataFrame:
-    """One row for each failing record: ``key`` columns, ``__content`` (a digest of the record) and ``reason``.
+    """One row for each failing record: ``key`` columns, ``__content`` (a digest of the record) and ``__reason``.
 
     Cells are exploded into record, place and value, joined with the table of rules (one row a column of the schema,
     so its size is bounded by the schema and it is broadcast), and each is validated; what fails is reduced to the
@@ -114,7 +114,7 @@ def errors(df: DataFrame, raw: str, schema: TableSchema, key: Sequence[str], del
     good = F.when(missing, F.col("__nullable") | (F.col("__type") == "string")).otherwise(checks)
     bad = value.join(F.broadcast(_rules(df, schema)), "__place").filter(~good).select(*names, "__content", F.lit(2).alias("__rank"))
     reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.min("__rank") + 1)
-    return whole.union(bad).groupBy(*names, "__content").agg(reason.alias("reason")).withColumnsRenamed(dict(zip(names, [f"__key{i}" for i in range(len(key))])))
+    return whole.union(bad).groupBy(*names, "__content").agg(reason.alias("__reason")).withColumnsRenamed(dict(zip(names, [f"__key{i}" for i in range(len(key))])))
 
 
 def _match(df: DataFrame, found: DataFrame, raw: str, key: Sequence[str]) -> Column:
@@ -133,11 +133,15 @@ def split_records(df: DataFrame, raw: str, schema: TableSchema, key: Sequence[st
     can't read; an unquoted empty field is NULL in a nullable column, ``''`` in another string column, else invalid).
 
     ``key`` names columns that tell records apart (they only spread the work: the verdict depends on the content alone,
-    so repeated and NULL keys do no harm). ``valid`` has the key columns and the schema's; a key that bears a schema
+    so repeated and NULL keys do no harm). An input column named ``reason`` stays, and the
+    new one is ``_reason``. ``valid`` has the key columns and the schema's; a key that bears a schema
     column's name is left out of it. A NULL record fails by ``columns``. Empty input gives two empty tables.
     """
     found = errors(df, raw, schema, key, delimiter, quote)
-    rejected = df.join(found, _match(df, found, raw, key)).select(*[df[c] for c in df.columns], "reason")
+    name = "reason"
+    while name in {c.lower() for c in df.columns}:
+        name = "_" + name
+    rejected = df.join(found, _match(df, found, raw, key)).select(*[df[c] for c in df.columns], F.col("__reason").alias(name))
     clean = _parsed(df.join(found, _match(df, found, raw, key), "left_anti"), raw, delimiter, quote)
     taken = {n.lower() for n in schema.names}
     cols = [F.col(f"`{c}`") for c in key if c.lower() not in taken]

@@ -100,24 +100,25 @@ _op("op_sum_date_number", "hits", "SELECT CAST(SUM(eventdate - DATE '1970-01-01'
 _G = "COUNT(*) AS n, CAST(SUM(clientip) AS BIGINT) AS s"
 
 
-def _group(name: str, keys: dict[str, E.Expr], sql_keys: dict[str, str]) -> None:
+def _group(name: str, keys, sql_keys: dict[str, str]) -> None:
+    """``keys`` is called when the query is built: columns need a running session."""
     sel = ", ".join(f"{e} AS {k}" for k, e in sql_keys.items())
     there = " AND ".join(f"({e}) IS NOT NULL" for e in sql_keys.values())
-    _op(name, "hits", f"SELECT {sel}, {_G} FROM hits WHERE {there} GROUP BY {', '.join(str(i + 1) for i in range(len(sql_keys)))}")(lambda t: group_aggregate(t, keys, {"n": A.count_star(), "s": A.sum_int("clientip")}))
+    _op(name, "hits", f"SELECT {sel}, {_G} FROM hits WHERE {there} GROUP BY {', '.join(str(i + 1) for i in range(len(sql_keys)))}")(lambda t: group_aggregate(t, keys(), {"n": A.count_star(), "s": A.sum_int("clientip")}))
 
 
 _B = "CAST({} AS BIGINT)".format
-_group("op_group_int", {"k": "counterid"}, {"k": _B("counterid")})
-_group("op_group_string", {"k": "searchphrase"}, {"k": "searchphrase"})
-_group("op_group_int_int", {"a": "counterid", "b": "regionid"}, {"a": _B("counterid"), "b": _B("regionid")})
-_group("op_group_int_string", {"a": "userid", "b": "searchphrase"}, {"a": "userid", "b": "searchphrase"})
-_group("op_group_int_int_string", {"a": "userid", "m": E.extract_minute("eventtime"), "b": "searchphrase"}, {"a": "userid", "m": "extract(minute FROM eventtime)", "b": "searchphrase"})
-_group("op_group_composite", {"a": "counterid", "d": "eventdate", "b": "url", "c": "title"}, {"a": _B("counterid"), "d": "eventdate", "b": "url", "c": "title"})
-_group("op_group_bool_key", {"k": F.col("windowclientwidth") > 1000}, {"k": _B("windowclientwidth > 1000")})
-_group("op_group_date_key", {"k": "eventdate"}, {"k": "eventdate"})
-_group("op_group_timestamp_key", {"k": E.trunc_minute("eventtime")}, {"k": "date_trunc('minute', eventtime)"})
-_group("op_group_expr_key", {"k": E.plus("regionid", 100)}, {"k": "CAST(regionid AS BIGINT) + 100"})
-_group("op_group_null_keys_dropped", {"k": F.when(F.col("clientip") % 3 != 0, F.col("clientip"))}, {"k": _B("CASE WHEN clientip % 3 <> 0 THEN clientip END")})
+_group("op_group_int", lambda: {"k": "counterid"}, {"k": _B("counterid")})
+_group("op_group_string", lambda: {"k": "searchphrase"}, {"k": "searchphrase"})
+_group("op_group_int_int", lambda: {"a": "counterid", "b": "regionid"}, {"a": _B("counterid"), "b": _B("regionid")})
+_group("op_group_int_string", lambda: {"a": "userid", "b": "searchphrase"}, {"a": "userid", "b": "searchphrase"})
+_group("op_group_int_int_string", lambda: {"a": "userid", "m": E.extract_minute("eventtime"), "b": "searchphrase"}, {"a": "userid", "m": "extract(minute FROM eventtime)", "b": "searchphrase"})
+_group("op_group_composite", lambda: {"a": "counterid", "d": "eventdate", "b": "url", "c": "title"}, {"a": _B("counterid"), "d": "eventdate", "b": "url", "c": "title"})
+_group("op_group_bool_key", lambda: {"k": F.col("windowclientwidth") > 1000}, {"k": _B("windowclientwidth > 1000")})
+_group("op_group_date_key", lambda: {"k": "eventdate"}, {"k": "eventdate"})
+_group("op_group_timestamp_key", lambda: {"k": E.trunc_minute("eventtime")}, {"k": "date_trunc('minute', eventtime)"})
+_group("op_group_expr_key", lambda: {"k": E.plus("regionid", 100)}, {"k": "CAST(regionid AS BIGINT) + 100"})
+_group("op_group_null_keys_dropped", lambda: {"k": F.when(F.col("clientip") % 3 != 0, F.col("clientip"))}, {"k": _B("CASE WHEN clientip % 3 <> 0 THEN clientip END")})
 _op("op_group_char_key", "hits_full", "SELECT CAST(ascii(hitcolor) AS BIGINT) AS k, COUNT(*) AS n FROM hits_full WHERE hitcolor IS NOT NULL GROUP BY 1")(lambda t: group_aggregate(t, {"k": E.char_code("hitcolor")}, {"n": A.count_star()}))
 _op("op_group_all_aggregates", "hits", f"SELECT CAST(counterid AS BIGINT) AS k, COUNT(*) AS n, CAST(SUM(isrefresh) AS BIGINT) AS s, {_AVG.format('resolutionwidth')} AS a, COUNT(DISTINCT userid) AS u, COUNT(DISTINCT url) AS v, MIN(title) AS lo, MAX(eventtime) AS hi FROM hits WHERE counterid IS NOT NULL GROUP BY counterid")(
     lambda t: group_aggregate(t, {"k": "counterid"}, {"n": A.count_star(), "s": A.sum_int("isrefresh"), "a": A.avg_int("resolutionwidth"), "u": A.count_distinct("userid"), "v": A.count_distinct("url"), "lo": A.min_("title"), "hi": A.max_("eventtime")})
