@@ -14,8 +14,11 @@ def memberships(df: DataFrame, identifier: str, groups: Sequence[str]) -> DataFr
     """The mergeable partial result of a load: ``identifier, groups…, rows``, each identifier once a group.
 
     An identifier or group with very many rows is reduced on the map side. Rows with a NULL identifier are left out;
-    NULL is a group value like any other. Empty input gives no rows. ``rows`` may not be a group's name.
+    NULL is a group value like any other. Empty input gives no rows. Other columns are ignored; of the columns named,
+    none may be called ``rows``, ``ids`` or ``pattern``.
     """
+    if {identifier.lower(), *(g.lower() for g in groups)} & {"rows", "ids", "pattern"}:
+        raise ValueError("rows, ids and pattern are names of the result")
     return df.select(identifier, *groups).filter(F.col(identifier).isNotNull()).groupBy(identifier, *groups).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -39,11 +42,11 @@ def patterns(members: DataFrame, identifier: str) -> DataFrame:
     ``members`` is read twice: pass a written table.
     """
     groups = [c for c in members.columns if c not in (identifier, "rows")]
-    parts: list[Column] = [x for g in groups for x in (F.col(g).isNull(), F.col(g))]
+    parts: list[Column] = [x for g in groups for x in (F.col(f"`{g}`").isNull(), F.col(f"`{g}`"))]
     sets = members.groupBy(identifier).agg(
-        F.bit_xor(F.xxhash64(F.lit(1), *parts)).alias("a"), F.bit_xor(F.xxhash64(F.lit(2), *parts)).alias("b"), F.count(F.lit(1)).alias("n")
+        F.bit_xor(F.xxhash64(F.lit(1), *parts)).alias("__a"), F.bit_xor(F.xxhash64(F.lit(2), *parts)).alias("__b"), F.count(F.lit(1)).alias("__n")
     )
-    totals = sets.groupBy("a", "b", "n").agg(F.min(identifier).alias("pattern"), F.count(F.lit(1)).alias("ids"))
+    totals = sets.groupBy("__a", "__b", "__n").agg(F.min(identifier).alias("pattern"), F.count(F.lit(1)).alias("ids"))
     return members.drop("rows").join(totals.select("pattern", "ids"), F.col(identifier) == F.col("pattern")).select("pattern", *groups, "ids")
 
 

@@ -21,8 +21,10 @@ def repetition(df: DataFrame, keep: Sequence[str], text: str = "text", n: int =
     by Arrow batch; a batch is handled in a few vector operations and its documents never meet others, so there is no
     shuffle. ``keep`` columns may hold anything but one of the result's names.
     """
+    if {c.lower() for c in keep} & {"words", "repeated", "share"}:
+        raise ValueError("words, repeated and share are names of the result")
     cols = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
-    given = df.select(*cols, word_hashes(f"`{text}`" if "." in text else text).alias("w"))
+    given = df.select(*cols, word_hashes(F.col(f"`{text}`")).alias("w"))
     shape = ", ".join([*[f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(given.schema.fields[:-1])], "words long", "repeated long", "share double"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

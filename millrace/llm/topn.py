@@ -37,7 +37,7 @@ def top_per_group(df: DataFrame, groups: Sequence[str], score: str, item: str, n
     parts = materialize(ordered.mapInArrow(_scan(len(gs), n), shape))
     before = Window.partitionBy(*gs).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ends = parts.filter("total is not null").select(*gs, "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("skip"))
-    placed = parts.filter("total is null").join(F.broadcast(ends), [*gs, "part"], "left")  # at most two rows a partition
+    placed = parts.filter("total is null").join(ends, [*gs, "part"], "left")
     position = F.col("local") + F.coalesce(F.col("skip"), F.lit(0))
     return placed.select(*[F.col(g).alias(c) for g, c in zip(gs, groups)], F.col("item").alias(item), F.col("score").alias(score), position.alias(result)).filter(F.col(result) <= n)
 
