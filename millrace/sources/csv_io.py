@@ -22,6 +22,9 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: TableSchema, de
     quoted empty field is ``''``. A wrong number of fields or an unreadable value is an error. Columns that a query
     doesn't use are neither converted nor checked.
 
+    One carriage return before a line end isn't part of the record; one inside a quoted field, before a line end, is
+    dropped by Spark's parser.
+
     With ``multi_line`` a quoted field may hold line ends, and a file is read by one task; without it files are split, so
     give large files that have no line ends inside fields that way.
     """
@@ -33,7 +36,11 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: TableSchema, de
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    return text.select([_strict(F.col(f"`{f.name}`"), f).alias(f.name) for f in schema.fields])
+    cells = {f.name: F.col(f"`{f.name}`") for f in schema.fields}
+    if schema.fields:  # where line ends differ within a file, the parser leaves the return in the last field
+        last = cells[schema.names[-1]]
+        cells[schema.names[-1]] = F.when(last.endswith("\r"), F.nullif(last.substr(F.lit(1), F.length(last) - 1), F.lit(""))).otherwise(last)
+    return text.select([_strict(cells[f.name], f).alias(f.name) for f in schema.fields])
 
 
 def _strict(v: Column, f: Field) -> Column:

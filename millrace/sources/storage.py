@@ -9,6 +9,7 @@ from pathlib import Path
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.schema import TYPES, TableSchema
 
@@ -25,7 +26,8 @@ def write_table(df: DataFrame, path: str, schema: TableSchema, compression: str
 
     ``encodings`` steers single columns: ``plain`` turns the dictionary off, ``dictionary`` on; ``delta``,
     ``frame_of_reference`` and ``bit_packing`` ask for Parquet's delta pages (format 2), which hold a block's least value
-    and bit-packed residuals. The codec holds for the whole table. Statistics are always written.
+    and bit-packed residuals. They are asked for only in tables without strings: format 2 would also turn plain strings
+    into delta pages, which Spark's vectorised reader was seen to misread in uncompressed files. The codec holds for the whole table. Statistics are always written.
     """
     have, want = [(f.name, f.dataType) for f in df.schema.fields], [(f.name, TYPES[f.type]) for f in schema.fields]
     if have != want:
@@ -41,7 +43,7 @@ def write_table(df: DataFrame, path: str, schema: TableSchema, compression: str
             raise ValueError(f"column {name!r}: {e} doesn't hold {schema[name].type}")
         if e != "auto":
             w = w.option(f"parquet.enable.dictionary#{name}", e == "dictionary")
-        if e in ("delta", "frame_of_reference", "bit_packing"):
+        if e in ("delta", "frame_of_reference", "bit_packing") and not any(TYPES[f.type] == T.StringType() for f in schema.fields):
             w = w.option("parquet.writer.version", "v2")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
@@ -99,6 +101,6 @@ def table_stats(path: str, columns: Sequence[str] | None = None) -> list[ChunkSt
                 if columns is not None and c.path_in_schema not in columns:
                     continue
                 s = c.statistics
-                has = s is not None and s.has_min_max
+                has = s is not None and s.has_min_max and s.min == s.min  # a chunk of NaN alone has none
                 out.append(ChunkStats(str(f), g, c.path_in_schema, group.num_rows, s.null_count if s is not None and s.has_null_count else None, s.min if has else None, s.max if has else None, tuple(c.encodings), c.compression, c.total_compressed_size))
     return out
