@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,25 @@ from pyspark.sql import functions as F
 from millrace.lineage import discard, materialize
 
 
+def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """A first assignment: the largest items first, each into the container with least room for it, or a new one."""
+    out = np.empty(len(sizes), np.int64)
+    room: list[tuple[int, int]] = []  # sorted: room left, container
+    count = 0
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        s = int(sizes[i])
+        k = bisect.bisect_left(room, (s, -1))
+        if k < len(room):
+            left, to = room.pop(k)
+        else:
+            left, to, count = capacity, count, count + 1
+        out[i] = to
+        bisect.insort(room, (left - s, to))
+    return out
+
+
 def next_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Containers in order of arrival: the next opens when an item doesn't fit."""
+    """Another first assignment: in order of arrival, a container opens when an item doesn't fit into the last."""
     out, k, fill = np.empty(len(sizes), np.int64), 0, 0
     for i, s in enumerate(sizes.tolist()):
         if fill + s > capacity:
@@ -21,6 +39,12 @@ def next_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def search(sizes: np.ndarray, capacity: int, full: float = 0.99) -> np.ndarray:
+    """Local search from both first assignments; the one that ends with fewer containers, numbered from 0."""
+    ends = [np.unique(improve(sizes, start(sizes, capacity), capacity, full), return_inverse=True)[1] for start in (best_fit, next_fit)]
+    return min(ends, key=lambda b: len(np.unique(b))) if len(sizes) else ends[0]
+
+
 def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int, full: float = 0.99) -> np.ndarray:
     """Local search from a given assignment; returns the containers of the items, numbered as before, some now empty.
 
@@ -110,7 +134,7 @@ def _pack_shard(capacity: int, full: float):
         given = table.column("bin").to_numpy(zero_copy_only=False)
         if table.column("bin").null_count:
             shard = key[0].as_py()
-            bins = (np.int64(shard) << np.int64(24)) + improve(sizes, next_fit(sizes, capacity), capacity, full)
+            bins = (np.int64(shard) << np.int64(24)) + search(sizes, capacity, full)
         else:
             names, local = np.unique(given.astype(np.int64), return_inverse=True)
             bins = names[improve(sizes, local.astype(np.int64), capacity, full)]
@@ -127,8 +151,8 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int = 2048, shard_
     take no room. Ids may repeat or be NULL; each row is an item. Empty input gives no rows.
 
     Items are dealt evenly to shards of about ``shard_items``, whatever their number, and each shard is packed by
-    :func:`improve` in one task. What is left underfull in all shards is dealt to new shards, whole containers together,
-    and improved again, ``rounds`` times at most or until one shard took it all; so the space lost at the shards'
+    :func:`search` in one task. What is left underfull in all shards is dealt to new shards, whole containers together,
+    and improved again (:func:`improve`), ``rounds`` times at most or until one shard took it all; so the space lost at the shards'
     borders shrinks with each round while no task ever sees more than a shard.
     """
     if capacity < 1 or shard_items < 2 or shard_items >= 1 << 24:
