@@ -50,6 +50,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Bytes of input for each core below which a scan can't be cut finely enough to keep the cores busy.
+SMALL_SPLIT = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if the optimizer's estimate of its size is too small for its scan to fill them.
+
+    For steps that take much CPU a row. Larger inputs have splits enough and pass through as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SMALL_SPLIT else df
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove a table of :func:`materialize` that no plan reads any more."""
     path = getattr(df, "_millrace_path", None)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.lineage import spread
 from millrace.schema import TYPES, TableSchema
 
 #: Reasons in the order in which they are looked for; a record gets the first that holds.
@@ -137,7 +138,7 @@ def split_records(df: DataFrame, raw: str, schema: TableSchema, key: Sequence[st
     new one is ``_reason``. ``valid`` has the key columns and the schema's; a key that bears a schema
     column's name is left out of it. A NULL record fails by ``columns``. Empty input gives two empty tables.
     """
-    found = errors(df, raw, schema, key, delimiter, quote)
+    found = errors(spread(df), raw, schema, key, delimiter, quote)
     name = "reason"
     while name in {c.lower() for c in df.columns}:
         name = "_" + name
