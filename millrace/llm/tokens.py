@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Where the queries look for vocabulary files; the environment variable overrides it.
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
-DEFAULT = "byte_bpe_50k.json"
+DEFAULT = "byte_bpe_50k.tiktoken"
 _MOST = 64 << 20
 
 _loaded: dict[int, Callable[[Sequence[str]], list[int]]] = {}
