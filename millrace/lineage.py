@@ -60,7 +60,7 @@ def spread(df: DataFrame) -> DataFrame:
     For steps that take much CPU a row. Larger inputs have splits enough and pass through as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL_SPLIT else df
 
 
