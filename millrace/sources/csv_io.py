@@ -70,7 +70,11 @@ def csv_lines(df: DataFrame, schema: TableSchema | None = None, delimiter: str =
     cells = []
     for f in df.schema.fields:
         s = _rendered(F.col(f"`{f.name}`"), f.dataType)
-        risky = s.contains(delimiter) | s.contains(quote) | s.contains("\n") | s.contains("\r")
+        if not isinstance(f.dataType, T.StringType):  # nothing to quote
+            cells.append(F.coalesce(s, F.lit("")))
+            continue
+        marks = delimiter + quote + "\n\r"
+        risky = F.translate(s, marks, "") != s
         cell = F.when(risky, F.concat(F.lit(quote), F.replace(s, F.lit(quote), F.lit(quote * 2)), F.lit(quote))).otherwise(s)
         if declared.get(f.name.lower(), f.nullable):
             cell = F.when(s == "", F.lit(quote * 2)).otherwise(cell)
