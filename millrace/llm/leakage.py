@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.lineage import materialize
+from millrace.lineage import materialize, spread
 from millrace.llm.words import Roller, windows, word_hashes
 
 SEED = 5
@@ -117,7 +117,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     spark = documents.sparkSession
     hashed = materialize(items.select(F.col(item_id).alias("id"), word_hashes(text).alias("w")).filter(F.size("w") >= SEED).withColumn("row", F.monotonically_increasing_id()))
     kind, doc_kind = hashed.schema["id"].dataType.simpleString(), documents.schema[doc_id].dataType.simpleString()
-    given = documents.select(F.col(doc_id).alias("doc"), word_hashes(text).alias("w"))
+    given = spread(documents.select(doc_id, text)).select(F.col(doc_id).alias("doc"), word_hashes(text).alias("w"))
     schema = f"doc {doc_kind}, id {kind}, longest long, tiles long, matched long, item_words long, coverage double"
     done: list[DataFrame] = []
     pending = None

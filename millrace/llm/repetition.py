@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.lineage import materialize
+from millrace.lineage import materialize, spread
 from millrace.llm.words import windows, word_hashes
 
 
@@ -24,7 +24,7 @@ def repetition(df: DataFrame, keep: Sequence[str], text: str = "text", n: int =
     if {c.lower() for c in keep} & {"words", "repeated", "share"}:
         raise ValueError("words, repeated and share are names of the result")
     cols = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
-    given = df.select(*cols, word_hashes(F.col(f"`{text}`")).alias("w"))
+    given = spread(df.select(*cols, F.col(f"`{text}`").alias("t"))).withColumn("w", word_hashes("t")).drop("t")
     shape = ", ".join([*[f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(given.schema.fields[:-1])], "words long", "repeated long", "share double"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.lineage import spread
+
 #: Where the queries look for vocabulary files; the environment variable overrides it.
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 DEFAULT = "byte_bpe_50k.tiktoken"
@@ -58,7 +60,7 @@ def token_counts(df: DataFrame, keep: Sequence[str], text: str = "text", vocabul
     with open(path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast((os.path.basename(path), f.read()))
     cols = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
-    given = df.select(*cols, F.coalesce(F.col(text), F.lit("")).alias("x"))
+    given = spread(df.select(*cols, F.coalesce(F.col(text), F.lit("")).alias("x")))
     shape = ", ".join([*[f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(given.schema.fields[:-1])], "n long"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
