@@ -54,11 +54,13 @@ def key_quantiles(df: DataFrame, keys: Sequence[str], value: Expr, quantiles: Se
     for i, q in enumerate(quantiles):
         rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(Decimal(str(q))) * F.col("n_values")).cast("long"))
         here = F.col("b").isNotNull() & (F.col("cum") >= rank) & (F.col("cum") - F.col("n") < rank)
-        at[f"t{i}"] = F.max(F.when(here, F.struct("b", "lo", "hi", (rank - F.col("cum") + F.col("n")).alias("rank"))))
+        for part, c in (("b", F.col("b")), ("lo", F.col("lo")), ("hi", F.col("hi")), ("rank", rank - F.col("cum") + F.col("n"))):
+            at[f"t{i}_{part}"] = F.max(F.when(here, c))  # plain numbers: a struct would make this a sort
     base = materialize(first.groupBy(*ks).agg(F.first("n_rows").alias("n_rows"), F.first("n_values").alias("n_values"), *[a.alias(n) for n, a in at.items()]))
 
     # open targets: key, number of the quantile, interval (least and greatest value inside) and rank within it
-    exploded = base.select(*ks, F.posexplode(F.array(*at)).alias("i", "t")).select(*ks, "i", "t.b", "t.lo", "t.hi", "t.rank")
+    targets = F.array(*[F.struct(*[F.col(f"t{i}_{part}").alias(part) for part in ("b", "lo", "hi", "rank")]) for i in range(len(quantiles))])
+    exploded = base.select(*ks, F.posexplode(targets).alias("i", "t")).select(*ks, "i", "t.b", "t.lo", "t.hi", "t.rank")
     open_ = exploded.filter("lo < hi")
     solved: list[DataFrame] = []
     active, on = bucketed, [*ks, "b"]
@@ -78,14 +80,14 @@ def key_quantiles(df: DataFrame, keys: Sequence[str], value: Expr, quantiles: Se
         active, on, open_ = rows, [*ks, "g", "b"], done.filter("lo < hi")
     names = [_label(q) for q in quantiles]
     out = base
-    values: list[Column] = [F.col(f"t{i}.lo") for i in range(len(quantiles))]
+    values: list[Column] = [F.col(f"t{i}_lo") for i in range(len(quantiles))]
     if solved:
         late = solved[0]
         for s in solved[1:]:
             late = late.union(s)
         late = late.groupBy(*ks).agg(*[F.max(F.when(F.col("i") == i, F.col("lo"))).alias(f"s{i}") for i in range(len(quantiles))])
         out = base.join(late, ks, "left")
-        values = [F.when(F.col(f"t{i}.lo") == F.col(f"t{i}.hi"), F.col(f"t{i}.lo")).otherwise(F.col(f"s{i}")) for i in range(len(quantiles))]
+        values = [F.when(F.col(f"t{i}_lo") == F.col(f"t{i}_hi"), F.col(f"t{i}_lo")).otherwise(F.col(f"s{i}")) for i in range(len(quantiles))]
     return out.select(*[F.col(k).alias(c) for k, c in zip(ks, keys)], "n_rows", "n_values", *[v.alias(n) for v, n in zip(values, names)])
 
 
