@@ -52,7 +52,9 @@ def patterns(members: DataFrame, identifier: str) -> DataFrame:
 
 def distinct_per(found: DataFrame, by: Sequence[str], name: str = "ids") -> DataFrame:
     """Distinct identifiers for each value of some group columns, any subset of those that the patterns were built on."""
-    return found.groupBy(*by, "pattern").agg(F.first("ids").alias("ids")).groupBy(*by).agg(F.sum("ids").alias(name))
+    if set(found.columns) - {"pattern", "ids"} != set(by):  # on fewer columns a pattern may name a group more than once
+        found = found.groupBy(*by, "pattern").agg(F.first("ids").alias("ids"))
+    return found.groupBy(*by).agg(F.sum("ids").alias(name))
 
 
 def distinct_where(found: DataFrame, any_of: Sequence[Column] = (), all_of: Sequence[Column] = (), none_of: Sequence[Column] = (), name: str = "ids") -> DataFrame:
