@@ -14,7 +14,7 @@ def spark():
 
     s = get_session("tests", f"local[{os.environ.get('TEST_CPUS', '4')}]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false",
-        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "7",
+        "spark.sql.maxMetadataStringLength": "2000", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "7",
     })
     s.sparkContext.setLogLevel("OFF")
     return s
