@@ -14,14 +14,16 @@ from millrace.schema import TYPES, TableSchema
 #: Reasons in the order in which they are looked for; a record gets the first that holds.
 REASONS = ("quoting", "columns", "value")
 
-# Marks for work on a record: the mark itself, where the data holds it, and a delimiter outside quotes.
-_MARK, _SELF, _CUT = "\x01", "\x01s", "\x01c"
+# Marks for work on a record: a delimiter outside quotes, and what stands for these two characters where the data holds them.
+_CUT, _ESCAPE = "\x01", "\x02"
+_ESCAPED = ((_ESCAPE, _ESCAPE + "e"), (_CUT, _ESCAPE + "c"))
 
 _INT_RANGE = {"int16": (-(2**15), 2**15 - 1), "int32": (-(2**31), 2**31 - 1), "int64": (-(2**63), 2**63 - 1)}
 
 
-def _literal(ch: str) -> Column:
-    return F.lit("\\Q" + ch + "\\E")
+def _split(text: Column, ch: str) -> Column:
+    """Cut at one character, which isn't a pattern."""
+    return F.split(text, ch if ch not in "\\^$.|?*+()[]{}" else "\\" + ch, -1)
 
 
 def _parsed(df: DataFrame, raw: str, delimiter: str, quote: str) -> DataFrame:
@@ -32,8 +34,9 @@ def _parsed(df: DataFrame, raw: str, delimiter: str, quote: str) -> DataFrame:
     """
     text = F.coalesce(F.col(f"`{raw}`"), F.lit(""))
     text = F.when(text.endswith("\r"), F.expr(f"left(`{raw}`, length(`{raw}`) - 1)")).otherwise(text)
-    marked = F.replace(text, F.lit(_MARK), F.lit(_SELF))
-    df = df.withColumn("__pieces", F.split(marked, "\\Q" + quote + "\\E", -1))
+    for plain, escaped in _ESCAPED:
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    df = df.withColumn("__pieces", _split(text, quote))
     last = F.size("__pieces") - 1
 
     def broken(p: Column, i: Column) -> Column:
@@ -44,13 +47,16 @@ def _parsed(df: DataFrame, raw: str, delimiter: str, quote: str) -> DataFrame:
         return F.when(i % 2 == 0, F.replace(p, F.lit(delimiter), F.lit(_CUT))).otherwise(p)
 
     sound = (last % 2 == 0) & (F.size(F.filter("__pieces", broken)) == 0)
-    cells = F.split(F.array_join(F.transform("__pieces", cut), quote), "\\Q" + _CUT + "\\E", -1)
+    cells = _split(F.array_join(F.transform("__pieces", cut), quote), _CUT)
     return df.withColumns({"__quoting": ~sound, "__cells": cells}).drop("__pieces")
 
 
 def _value(cell: Column, quote: str) -> Column:
     inner = F.replace(cell.substr(F.lit(2), F.length(cell) - 2), F.lit(quote * 2), F.lit(quote))
-    return F.replace(F.when(cell.startswith(quote), inner).otherwise(cell), F.lit(_SELF), F.lit(_MARK))
+    value = F.when(cell.startswith(quote), inner).otherwise(cell)
+    for plain, escaped in reversed(_ESCAPED):
+        value = F.replace(value, F.lit(escaped), F.lit(plain))
+    return value
 
 
 def _date(v: Column) -> Column:
@@ -97,7 +103,7 @@ def _rules(df: DataFrame, schema: TableSchema) -> DataFrame:
 
 
 def errors(df: DataFrame, raw: str, schema: TableSchema, key: Sequence[str], delimiter: str = ",", quote: str = '"') -> DataFrame:
-    """One row for each failing record: ``key`` columns, ``__content`` (a digest of the record) and ``__reason``.
+    """One row for each failing record: ``key`` columns, ``__content`` and ``__check`` (hashes of the record) and ``__reason``.
 
     Cells are exploded into record, place and value, joined with the table of rules (one row a column of the schema,
     so its size is bounded by the schema and it is broadcast), and each is validated; what fails is reduced to the
@@ -105,21 +111,31 @@ def errors(df: DataFrame, raw: str, schema: TableSchema, key: Sequence[str], del
     """
     width = len(schema.fields)
     keys = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(key)]
-    parsed = _parsed(df, raw, delimiter, quote).select(*keys, F.sha2(F.coalesce(F.col(f"`{raw}`"), F.lit("\x00")), 256).alias("__content"), "__quoting", "__cells", F.col(f"`{raw}`").isNull().alias("__none"))
+    parsed = _parsed(df, raw, delimiter, quote).select(*keys, *_content(raw), "__quoting", "__cells", F.col(f"`{raw}`").isNull().alias("__none"))
     names = [f"__k{i}" for i in range(len(key))]
-    whole = parsed.filter(F.col("__quoting") | F.col("__none") | (F.size("__cells") != width)).select(*names, "__content", F.when(F.col("__quoting"), 0).otherwise(1).alias("__rank"))
-    cells = parsed.filter(~F.col("__quoting") & ~F.col("__none") & (F.size("__cells") == width)).select(*names, "__content", F.posexplode("__cells").alias("__place", "__cell"))
-    value = cells.select(*names, "__content", "__place", _value(F.col("__cell"), quote).alias("__value"), F.col("__cell").startswith(quote).alias("__quoted"))
+    whole = parsed.filter(F.col("__quoting") | F.col("__none") | (F.size("__cells") != width)).select(*names, *_HASHES, F.when(F.col("__quoting"), 0).otherwise(1).alias("__rank"))
+    cells = parsed.filter(~F.col("__quoting") & ~F.col("__none") & (F.size("__cells") == width)).select(*names, *_HASHES, F.posexplode("__cells").alias("__place", "__cell"))
+    value = cells.select(*names, *_HASHES, "__place", _value(F.col("__cell"), quote).alias("__value"), F.col("__cell").startswith(quote).alias("__quoted"))
     checks = functools.reduce(lambda w, k: w.when(F.col("__type") == k, fits(F.col("__value"), k)), [k for k in TYPES if k != "string"], F.when(F.col("__type") == "string", True))
     missing = ~F.col("__quoted") & (F.col("__value") == "")
     good = F.when(missing, F.col("__nullable") | (F.col("__type") == "string")).otherwise(checks)
-    bad = value.join(F.broadcast(_rules(df, schema)), "__place").filter(~good).select(*names, "__content", F.lit(2).alias("__rank"))
+    bad = value.join(F.broadcast(_rules(df, schema)), "__place").filter(~good).select(*names, *_HASHES, F.lit(2).alias("__rank"))
     reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.min("__rank") + 1)
-    return whole.union(bad).groupBy(*names, "__content").agg(reason.alias("__reason")).withColumnsRenamed(dict(zip(names, [f"__key{i}" for i in range(len(key))])))
+    return whole.union(bad).groupBy(*names, *_HASHES).agg(reason.alias("__reason")).withColumnsRenamed(dict(zip(names, [f"__key{i}" for i in range(len(key))])))
+
+
+_HASHES = ("__content", "__check")
+
+
+def _content(raw: str) -> list[Column]:
+    """128 bits that stand for a record."""
+    c = F.col(f"`{raw}`")
+    return [F.xxhash64(c.isNull(), c).alias(_HASHES[0]), F.xxhash64(F.lit("check"), c).alias(_HASHES[1])]
 
 
 def _match(df: DataFrame, found: DataFrame, raw: str, key: Sequence[str]) -> Column:
-    on = F.sha2(F.coalesce(F.col(f"`{raw}`"), F.lit("\x00")), 256) == F.col("__content")
+    a, b = _content(raw)
+    on = (a == F.col(_HASHES[0])) & (b == F.col(_HASHES[1]))
     for i, c in enumerate(key):
         on = on & df[c].eqNullSafe(F.col(f"__key{i}"))
     return on

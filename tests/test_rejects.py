@@ -89,3 +89,8 @@ def test_other_marks(spark):
     df = spark.createDataFrame([("1;'a;b';c",), ("1;x'y;c",)], "raw string")
     valid, rejected = split_records(df, "raw", ABC, delimiter=";", quote="'")
     assert rows(valid) == [(1, "a;b", "c")] and rows(rejected) == [("1;x'y;c", "quoting")]
+
+
+def test_records_may_hold_the_marks_used_inside(spark):
+    valid, rejected = split(spark, ["1,\x01\x02c\x02,\x02e", '2,"\x01,\x02",\x02c\x01e', "3,\x01"])
+    assert valid == [(0, 1, "\x01\x02c\x02", "\x02e"), (1, 2, "\x01,\x02", "\x02c\x01e")] and rejected == [(2, "columns")]
