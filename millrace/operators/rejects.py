@@ -113,15 +113,16 @@ def errors(df: DataFrame, raw: str, schema: TableSchema, key: Sequence[str], del
     keys = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(key)]
     parsed = _parsed(df, raw, delimiter, quote).select(*keys, *_content(raw), "__quoting", "__cells", F.col(f"`{raw}`").isNull().alias("__none"))
     names = [f"__k{i}" for i in range(len(key))]
-    whole = parsed.filter(F.col("__quoting") | F.col("__none") | (F.size("__cells") != width)).select(*names, *_HASHES, F.when(F.col("__quoting"), 0).otherwise(1).alias("__rank"))
-    cells = parsed.filter(~F.col("__quoting") & ~F.col("__none") & (F.size("__cells") == width)).select(*names, *_HASHES, F.posexplode("__cells").alias("__place", "__cell"))
-    value = cells.select(*names, *_HASHES, "__place", _value(F.col("__cell"), quote).alias("__value"), F.col("__cell").startswith(quote).alias("__quoted"))
+    whole = F.when(F.col("__quoting"), 0).when(F.col("__none") | (F.size("__cells") != width), 1)  # NULL: look at the cells
+    ranked = parsed.select(*names, *_HASHES, whole.alias("__whole"), "__cells")
+    cells = ranked.select(*names, *_HASHES, "__whole", F.posexplode(F.when(F.col("__whole").isNull(), F.col("__cells")).otherwise(F.array(F.lit("")))).alias("__place", "__cell"))
+    value = cells.select(*names, *_HASHES, "__whole", "__place", _value(F.col("__cell"), quote).alias("__value"), F.col("__cell").startswith(quote).alias("__quoted"))
     checks = functools.reduce(lambda w, k: w.when(F.col("__type") == k, fits(F.col("__value"), k)), [k for k in TYPES if k != "string"], F.when(F.col("__type") == "string", True))
     missing = ~F.col("__quoted") & (F.col("__value") == "")
     good = F.when(missing, F.col("__nullable") | (F.col("__type") == "string")).otherwise(checks)
-    bad = value.join(F.broadcast(_rules(df, schema)), "__place").filter(~good).select(*names, *_HASHES, F.lit(2).alias("__rank"))
+    failed = value.join(F.broadcast(_rules(df, schema)), "__place").filter(F.col("__whole").isNotNull() | ~good).select(*names, *_HASHES, F.coalesce("__whole", F.lit(2)).alias("__rank"))
     reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.min("__rank") + 1)
-    return whole.union(bad).groupBy(*names, *_HASHES).agg(reason.alias("__reason")).withColumnsRenamed(dict(zip(names, [f"__key{i}" for i in range(len(key))])))
+    return failed.groupBy(*names, *_HASHES).agg(reason.alias("__reason")).withColumnsRenamed(dict(zip(names, [f"__key{i}" for i in range(len(key))])))
 
 
 _HASHES = ("__content", "__check")
