@@ -18,13 +18,15 @@ from millrace.functions import aggs as A
 from millrace.functions import expr as E
 from millrace.operators.relational import count_table, filter_, global_aggregate, group_aggregate, project, top_n
 
+# The openings of an address that the host query strips, longest first.
 HOST_PREFIXES = ("http://www.", "https://www.", "http://", "https://")
 
 
 @dataclass(frozen=True)
 class Params:
-    """Constants of the queries. The defaults are the fixed values of the public benchmark."""
+    """Constants of the queries."""
 
+    # Fixed values of the public benchmark.
     user: int = 435090932899640449
     counter: int = 62
     first_day: dt.date = dt.date(2013, 7, 1)

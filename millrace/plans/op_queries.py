@@ -118,7 +118,7 @@ _group("op_group_bool_key", lambda: {"k": F.col("windowclientwidth") > 1000}, {"
 _group("op_group_date_key", lambda: {"k": "eventdate"}, {"k": "eventdate"})
 _group("op_group_timestamp_key", lambda: {"k": E.trunc_minute("eventtime")}, {"k": "date_trunc('minute', eventtime)"})
 _group("op_group_expr_key", lambda: {"k": E.plus("regionid", 100)}, {"k": "CAST(regionid AS BIGINT) + 100"})
-_group("op_group_null_keys_dropped", lambda: {"k": F.when(F.col("clientip") % 3 != 0, F.col("clientip"))}, {"k": _B("CASE WHEN clientip % 3 <> 0 THEN clientip END")})
+_group("op_group_null_keys_dropped", lambda: {"u": "userid", "t": "title", "r": "referer"}, {"u": "userid", "t": "title", "r": "referer"})
 _op("op_group_char_key", "hits_full", "SELECT CAST(ascii(hitcolor) AS BIGINT) AS k, COUNT(*) AS n FROM hits_full WHERE hitcolor IS NOT NULL GROUP BY 1")(lambda t: group_aggregate(t, {"k": E.char_code("hitcolor")}, {"n": A.count_star()}))
 _op("op_group_all_aggregates", "hits", f"SELECT CAST(counterid AS BIGINT) AS k, COUNT(*) AS n, CAST(SUM(isrefresh) AS BIGINT) AS s, {_AVG.format('resolutionwidth')} AS a, COUNT(DISTINCT userid) AS u, COUNT(DISTINCT url) AS v, MIN(title) AS lo, MAX(eventtime) AS hi FROM hits WHERE counterid IS NOT NULL GROUP BY counterid")(
     lambda t: group_aggregate(t, {"k": "counterid"}, {"n": A.count_star(), "s": A.sum_int("isrefresh"), "a": A.avg_int("resolutionwidth"), "u": A.count_distinct("userid"), "v": A.count_distinct("url"), "lo": A.min_("title"), "hi": A.max_("eventtime")})
