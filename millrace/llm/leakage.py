@@ -102,7 +102,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     A pair is reported if the texts share ``run`` consecutive words, or if tiles of at least ``SEED`` words cover the
     share ``coverage`` of the item's words in any order.
 
-    The items are read in blocks of at most ``block_words`` words (16 MB of hashes), whatever their number; a block is
+    The items are read in blocks of at most ``block_words`` words (16 MB of hashes) or one longer item, whatever their
+    number; a block is
     broadcast and the corpus passes it once, so documents are never shuffled and no task sees more than one batch of
     them and one block. Within a document the seeds that it shares with the block name the candidate items. A pair goes
     on only if enough of the item's places are seeds for one of the two conditions to hold, which drops no case; then
