@@ -14,6 +14,7 @@ from millrace.lineage import materialize, spread
 from millrace.llm.words import Roller, windows, word_hashes
 
 SEED = 5
+_FILLER = np.array([0x5851F42D4C957F2D], np.uint64)  # a hash that no word is likely to have
 
 
 class Index:
@@ -27,7 +28,7 @@ class Index:
         order = np.argsort(flat, kind="stable")
         self.hashes, start = np.unique(flat[order], return_index=True)
         self.owner, self.start = where[order], np.append(start, len(flat))
-        self.least = np.array([len(r) for r in runs], np.int64)
+        self.of_item = [np.unique(np.searchsorted(self.hashes, r)) for r in runs]
 
     def seeds(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``h`` that hold a seed, and the seed's number."""
@@ -96,6 +97,18 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     return tiles
 
 
+def matched_parts(doc: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The words of a document that lie in a run of ``SEED`` words from one of the sorted ``places``, parted by a filler.
+
+    If these are all places where an item's seeds stand, every tile of both texts lies whole in one part, so a long
+    document is tiled at the cost of what it shares with the item.
+    """
+    breaks = np.flatnonzero(np.diff(places) > SEED) + 1
+    starts, ends = places[np.append(0, breaks)], places[np.append(breaks - 1, len(places) - 1)] + SEED
+    parts = [x for a, b in zip(starts, ends) for x in (doc[a:b], _FILLER)]
+    return np.concatenate(parts[:-1])
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", run: int = 13, coverage: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
     """``doc_id, item_id, longest, tiles, matched, item_words, coverage``: the items that leaked into each document.
 
@@ -103,9 +116,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     share ``coverage`` of the item's words in any order.
 
     The items are read in blocks of at most ``block_words`` words (16 MB of hashes) or one longer item, whatever their
-    number; a block is
-    broadcast and the corpus passes it once, so documents are never shuffled and no task sees more than one batch of
-    them and one block. Within a document the seeds that it shares with the block name the candidate items. A pair goes
+    number; a block is broadcast and the corpus passes it once, so documents are never shuffled and no task sees more
+    than one batch of them and one block. Within a document the seeds that it shares with the block name the candidate items. A pair goes
     on only if enough of the item's places are seeds for one of the two conditions to hold, which drops no case; then
     both texts are tiled.
 
@@ -161,13 +173,14 @@ def _tiler(shared, run: int, coverage: float):
             hit, seed = index.seeds(windows(flat, SEED))
             doc = np.searchsorted(ends, hit, "right") - 1
             inside = hit + SEED <= ends[doc + 1]
-            doc, seed = doc[inside], seed[inside]
+            hit, doc, seed = hit[inside], doc[inside], seed[inside]
             cut = np.searchsorted(doc, np.arange(len(ends)))
             rows: list[tuple] = []
             for d in np.unique(doc).tolist():
-                own, count = index.owners(np.unique(seed[cut[d] : cut[d + 1]]))
+                places, seeds = hit[cut[d] : cut[d + 1]], seed[cut[d] : cut[d + 1]]
+                own, count = index.owners(np.unique(seeds))
                 for i in own[count >= needed[own]].tolist():
-                    tiles = tile(flat[ends[d] : ends[d + 1]], items[i], SEED)
+                    tiles = tile(matched_parts(flat, places[np.isin(seeds, index.of_item[i])]), items[i], SEED)
                     longest, matched = max((n for *_, n in tiles), default=0), sum(n for *_, n in tiles)
                     if longest >= run or matched >= coverage * sizes[i]:
                         rows.append((d, i, longest, len(tiles), matched, int(sizes[i]), matched / sizes[i]))

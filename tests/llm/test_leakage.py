@@ -4,8 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from conftest import rows
-from millrace.llm.leakage import leaks, tile
-from millrace.llm.words import word_hashes, words
+from millrace.llm.leakage import SEED, Index, leaks, matched_parts, tile
+from millrace.llm.words import windows, word_hashes, words
 
 
 def brute(doc, item, least):
@@ -41,6 +41,16 @@ def test_tiles_against_brute_force(doc, item, least):
     assert all(len(m) == len(set(m)) for m in marked) and all(doc[q : q + n] == item[p : p + n] for q, p, n in got)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=60), st.lists(st.integers(0, 2), max_size=30))
+def test_matched_parts_hold_all_tiles(doc, item):
+    code = np.random.default_rng(0).integers(0, 2**63, 3, dtype=np.uint64)
+    d, t = code[np.array(doc, int)], code[np.array(item, int)]
+    places, _ = Index([t]).seeds(windows(d, SEED))
+    got = tile(matched_parts(d, places), t, SEED) if len(places) else []
+    assert sorted(n for *_, n in got) == sorted(n for *_, n in tile(d, t, SEED))
+
+
 def test_very_repetitive_texts_stay_cheap():
     a, b = np.full(200_000, 7, np.uint64), np.full(3000, 7, np.uint64)
     assert tile(a, b, 5) == [(0, 0, 3000)]
