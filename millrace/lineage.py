@@ -55,12 +55,13 @@ SMALL_SPLIT = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if the optimizer's estimate of its size is too small for its scan to fill them.
+    """``df`` over all cores, if the tables it reads are too small for their scans to fill them.
 
     For steps that take much CPU a row. Larger inputs have splits enough and pass through as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
     return df.repartition(cores) if size < cores * SMALL_SPLIT else df
 
 
