@@ -5,11 +5,15 @@ For input that may hold broken records see :mod:`millrace.operators.rejects`, wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.rejects import fits, typed
+from millrace.operators.rejects import _split, fits, typed
 from millrace.schema import TYPES, Field, TableSchema
 
 _NO_NULL = "\x01"
@@ -20,7 +24,8 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: TableSchema, de
 
     An unquoted empty field is NULL in a nullable column, ``''`` in another string column and an error elsewhere; a
     quoted empty field is ``''``. A wrong number of fields or an unreadable value is an error. Columns that a query
-    doesn't use are neither converted nor checked.
+    doesn't use are neither converted nor checked. Quotes are: the call itself reads the text once and raises if a
+    quoted field isn't closed or stands beside other text, or if an unquoted field holds a quote.
 
     One carriage return before a line end isn't part of the record; one inside a quoted field, before a line end, is
     dropped by Spark's parser.
@@ -28,6 +33,7 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: TableSchema, de
     With ``multi_line`` a quoted field may hold line ends, and a file is read by one task; without it files are split, so
     give large files that have no line ends inside fields that way.
     """
+    _check_quotes(spark, path, delimiter, quote, multi_line)
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     text = (
         spark.read.schema(raw)
@@ -43,6 +49,59 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: TableSchema, de
     return text.select([_strict(cells[f.name], f).alias(f.name) for f in schema.fields])
 
 
+def _check_quotes(spark: SparkSession, path: str | list[str], delimiter: str, quote: str, multi_line: bool) -> None:
+    """Raise if quotes aren't sound; Spark's parser takes broken ones for text, and an open one for all that follows.
+
+    Whether a line is sound depends on the line alone and on whether it begins inside quotes. So each split of a file is
+    judged for both beginnings, in parallel, and the driver, which gets one row a split, follows each file's splits from
+    its start. Only lines with quotes take part, as flags: the others change nothing.
+    """
+    value = F.col("value")
+    lines = spark.read.option("lineSep", "\n").text(path).filter(value.contains(quote))
+    pieces = _split(F.when(value.endswith("\r"), value.substr(F.lit(1), F.length(value) - 1)).otherwise(value), quote)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), pieces.alias("p"))
+    last = F.size("p") - 1
+
+    def broken(outside: int) -> Column:
+        """Whether a piece outside quotes (those at places with this remainder) isn't parted from them by delimiters."""
+        opens, closes = lambda p, i: p.endswith(delimiter) | (i == last), lambda p, i: p.startswith(delimiter) | (i == 0)
+        return F.size(F.filter("p", lambda p, i: (i % 2 == outside) & (p != "") & ~(opens(p, i) & closes(p, i)))) > 0
+
+    flags = lines.select("file", "start", (last % 2 == 1).alias("odd"), broken(0).alias("outside"), broken(1).alias("inside"))
+    if not multi_line:
+        wrong = [r.file for r in flags.filter("odd OR outside").limit(1).collect()]
+    else:
+        wrong, ends = set(), {}
+        for r in sorted(flags.mapInArrow(_judged, flags.schema).collect(), key=lambda r: (r.file, r.start)):
+            begins = ends.get(r.file, False)
+            ends[r.file] = begins != r.odd
+            if r.inside if begins else r.outside:
+                wrong.add(r.file)
+        wrong |= {f for f, opened in ends.items() if opened}
+    if wrong:
+        raise ValueError(f"{min(wrong)}: a quoted field isn't closed or stands beside other text, or an unquoted one holds a quote")
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The flags of lines, in the order of the text, as flags of their whole splits."""
+    splits: dict[tuple[str, int], list[bool]] = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        file, start = b.column(0).dictionary_encode(), b.column(1).to_numpy(zero_copy_only=False)
+        place = file.indices.to_numpy(zero_copy_only=False)
+        odd, outside, inside = (b.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (2, 3, 4))
+        cuts = np.flatnonzero((place[1:] != place[:-1]) | (start[1:] != start[:-1])) + 1
+        for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
+            s = splits.setdefault((file.dictionary[int(place[i])].as_py(), int(start[i])), [False, False, False])
+            opened = ((np.cumsum(odd[i:j]) - odd[i:j]) % 2 == 1) ^ s[0]  # before each line, if the split begins outside
+            s[1] |= bool(np.where(opened, inside[i:j], outside[i:j]).any())
+            s[2] |= bool(np.where(opened, outside[i:j], inside[i:j]).any())
+            s[0] ^= bool(odd[i:j].sum() % 2)
+    for (f, at), s in splits.items():
+        yield pa.RecordBatch.from_arrays([pa.array([f], pa.string()), pa.array([at], pa.int64()), *[pa.array([x], pa.bool_()) for x in s]], ["file", "start", "odd", "outside", "inside"])
+
+
 def _strict(v: Column, f: Field) -> Column:
     bad = F.raise_error(F.concat(F.lit(f"column {f.name}: not a {f.type}: "), F.coalesce(v, F.lit("nothing")))).cast(TYPES[f.type])
     if f.nullable:
@@ -90,8 +149,6 @@ def write_csv(df: DataFrame, path: str, schema: TableSchema | None = None, delim
         first = csv_lines(names, TableSchema(()), delimiter, quote).first().value
 
         def headed(batches):
-            import pyarrow as pa
-
             yield pa.RecordBatch.from_arrays([pa.array([first], pa.string())], ["value"])
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string())], ["value"])

@@ -55,6 +55,32 @@ def test_csv_is_strict(spark, tmp_path, text, fields):
         read(spark, tmp_path, text, fields).collect()
 
 
+@pytest.mark.parametrize(
+    "text",
+    ['"ab"cd,x\n', 'q,"open\n1,2\n3,4\n', '1,2\nx,"y', '1,a"b\n', '"a" ,b\n', '"1\n2"x,y\n', '"1\n2","3\n""4\n', '"a"\r\r\nb,c\n'],
+)
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_csv_quotes_are_strict(spark, tmp_path, text, multi_line):
+    with pytest.raises(Exception):
+        read(spark, tmp_path, text, S2, multi_line=multi_line).collect()
+
+
+def test_csv_quotes_over_many_splits(spark, tmp_path):
+    """Splits of 200 bytes begin inside and outside quotes."""
+    data = [(f"{i}", "\n".join(f'line {k}, "{i}"' for k in range(i % 30))) for i in range(1, 200)]
+    lines = [f'{a},"{b.replace(chr(34), chr(34) * 2)}"\n' for a, b in data]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        assert rows(read(spark, tmp_path, "".join(lines), S2)) == sorted((a, b) for a, b in data)
+        for broken in ('x,"y"z\n', 'x,"y\n', 'x,y"z"\n'):
+            for at in (0, 100, len(lines)):
+                with pytest.raises(ValueError):
+                    read(spark, tmp_path, "".join([*lines[:at], broken, *lines[at:]]), S2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_csv_lines(spark):
     df = spark.createDataFrame([(1, 3.14, "", None, "a,b", True), (2, float("nan"), "x", "", 'q"\n', None)], "i int, d double, s string, t string, u string, v boolean")
     schema = TableSchema.of([("i", "int32"), ("d", "double"), ("s", "string"), ("t", "string", True), ("u", "string"), ("v", "bool", True)])
