@@ -65,15 +65,19 @@ class Sketch:
             found |= {int(x): int(b) for x, b in zip(h, bound) if b >= least}
         return found
 
-    def complete(self, counters: np.ndarray, counted: Mapping[int, int], least: float) -> bool:
-        """Whether no other value can have ``least`` rows: in some hash row no bucket has as many left."""
+    def bound(self, counters: np.ndarray, h: int) -> int:
+        """The least count of a hash's buckets."""
+        return int(min(counters[r, self.bucket(r, np.array([h], np.uint64))[0], 0] for r in range(self.depth)))
+
+    def left(self, counters: np.ndarray, counted: Mapping[int, int]) -> np.ndarray:
+        """Rows of each bucket, ``[row, bucket]``, that aren't counted yet."""
         h = np.array(list(counted), np.uint64)
         n = np.array(list(counted.values()), np.int64)
-        for r in range(self.depth):
-            rest = counters[r, :, 0] - (np.bincount(self.bucket(r, h), n, self.width).astype(np.int64) if len(h) else 0)
-            if rest.max() < least:
-                return True
-        return False
+        return np.array([counters[r, :, 0] - (np.bincount(self.bucket(r, h), n, self.width).astype(np.int64) if len(h) else 0) for r in range(self.depth)])
+
+    def complete(self, counters: np.ndarray, counted: Mapping[int, int], least: float) -> bool:
+        """Whether no other value can have ``least`` rows: in some hash row no bucket has as many left."""
+        return bool((self.left(counters, counted).max(axis=1) < least).any())
 
 
 def _sketched(df: DataFrame, fields: list[str], sketch: Sketch) -> np.ndarray:
@@ -108,8 +112,10 @@ def frequent_items(df: DataFrame, columns: list[str], share: float = 0.01, sketc
     more than a quarter of ``share`` of the rows above.
 
     The result is proven whole: what the exact counts leave in the buckets must stay below the threshold in some hash
-    row. If it doesn't (two frequent values met in every row), a wider sketch with other hashes is tried, and after
-    ``attempts`` of them an error is raised; nothing is left out in silence. Empty input gives no rows.
+    row. If it doesn't (two frequent values met in every row), a wider sketch with other hashes is tried. Columns for
+    which ``attempts`` of them don't do (some hundred values of about the same count) are finished exactly: rows in
+    buckets that still hold as many in every hash row are counted by their value. Only a ``sketch`` of the caller's own
+    bounds the work, and raises an error then; nothing is left out in silence. Empty input gives no rows.
     """
     spark = df.sparkSession
     value = lambda c: F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`").cast("string"))
@@ -122,10 +128,18 @@ def frequent_items(df: DataFrame, columns: list[str], share: float = 0.01, sketc
         totals = counters[:, 0, :, 0].sum(axis=1)
         bounds = [shape.decode(counters[i], share * totals[i]) for i in range(len(columns))]
         rows = _verified(df, columns, value, bounds)
-        if all(shape.complete(counters[i], {h: n for j, _, n, h in rows if j == i}, share * totals[i]) for i in range(len(columns)) if totals[i]):
-            kept = [(columns[j], v, n, bounds[j][h]) for j, v, n, h in rows if n >= share * totals[j]]
-            return spark.createDataFrame(kept, schema)
-    raise RuntimeError("frequent values met in all hash rows: pass a sketch with more rows or buckets")
+        counted = [{h: n for j, _, n, h in rows if j == i} for i in range(len(columns))]
+        open_ = [i for i in range(len(columns)) if totals[i] and not shape.complete(counters[i], counted[i], share * totals[i])]
+        if not open_:
+            break
+    else:
+        if sketch:
+            raise RuntimeError("frequent values met in all hash rows: pass a sketch with more rows or buckets")
+        for i in open_:
+            rest = _rest(df, value(columns[i]), shape, shape.left(counters[i], counted[i]) >= share * totals[i], counted[i], share * totals[i])
+            rows += [(i, v, n, h) for v, n, h in rest]
+            bounds[i] |= {h: shape.bound(counters[i], h) for _, _, h in rest}
+    return spark.createDataFrame([(columns[j], v, n, bounds[j][h]) for j, v, n, h in rows if n >= share * totals[j]], schema)
 
 
 def _verified(df: DataFrame, columns: list[str], value, bounds: list[dict[int, int]]) -> list[tuple[int, str, int, int]]:
@@ -140,3 +154,20 @@ def _verified(df: DataFrame, columns: list[str], value, bounds: list[dict[int, i
         return []
     found = df.select(F.explode(F.array_compact(F.array(*picks))).alias("x")).groupBy("x.place", "x.item").agg(F.count(F.lit(1)).alias("n"), F.xxhash64(F.col("x.item")).alias("h"))
     return [(r.place, r.item, r.n, int(np.int64(r.h).astype(np.uint64))) for r in found.collect()]
+
+
+def _rest(df: DataFrame, value: Column, sketch: Sketch, full: np.ndarray, counted: Mapping[int, int], least: float) -> list[tuple[str, int, int]]:
+    """Values with ``least`` rows whose hash isn't counted and whose buckets are full in every hash row: value, rows, hash.
+
+    Only hashes go to Python. Equal values are reduced on the map side, and at most 1 / share of them reach the driver.
+    """
+    known = np.array(list(counted), np.uint64)
+
+    @F.arrow_udf("boolean")
+    def open_(hashes: pa.Array) -> pa.Array:
+        h = hashes.to_numpy(zero_copy_only=False).view(np.uint64)
+        return pa.array(np.logical_and.reduce([full[r, sketch.bucket(r, h)] for r in range(sketch.depth)]) & ~np.isin(h, known))
+
+    there = df.select(value.alias("item")).filter(F.col("item").isNotNull()).withColumn("h", F.xxhash64("item"))
+    found = there.filter(open_("h")).groupBy("item", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= float(least))
+    return [(r.item, r.n, int(np.int64(r.h).astype(np.uint64))) for r in found.collect()]
