@@ -50,9 +50,10 @@ def p1_combination(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of day and counter with at least 20 rows that have a user and 0.6 times as many users."""
     members, pair = _members(spark, d), ["eventdate", "counterid"]
-    users = distinct_per(patterns(members, "userid"), pair)
+    users = distinct_per(patterns(members, "userid"), pair).withColumnsRenamed({c: f"users_{c}" for c in pair})
     rows = members.groupBy(*pair).agg(F.sum("rows").alias("rows")).filter("rows >= 20")
-    return rows.join(users, pair).filter(F.col("ids") * 10 >= F.col("rows") * 6).select(F.col("eventdate").cast("string").alias("eventdate"), "counterid")
+    same = [F.col(c).eqNullSafe(F.col(f"users_{c}")) for c in pair]  # NULL is a group too
+    return rows.join(users, same).filter(F.col("ids") * 10 >= F.col("rows") * 6).select(F.col("eventdate").cast("string").alias("eventdate"), "counterid")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from millrace.llm.patterns import distinct_per, distinct_where, memberships, merge_memberships, patterns, written
+from millrace.llm.queries import p1_found
 
 KIND = "uid long, day string, c int, rows int, n int"
 
@@ -60,3 +61,9 @@ def test_empty_and_names(spark):
     assert rows(found) == [] and rows(distinct_per(found, ["c"])) == [] and rows(distinct_where(found)) == [(0,)]
     with pytest.raises(ValueError):
         memberships(table(spark, []), "uid", ["rows"])
+
+
+def test_found_keeps_null_groups(spark, tmp_path):
+    hits = spark.range(120).selectExpr("id AS userid", "nullif(DATE '2013-07-01', if(id % 4 < 2, DATE '2013-07-01', NULL)) AS eventdate", "nullif(CAST(id % 2 AS int), 0) AS counterid")
+    hits.write.parquet(str(tmp_path / "hits.parquet"))
+    assert rows(p1_found(spark, str(tmp_path))) == [(None, None), (None, 1), ("2013-07-01", None), ("2013-07-01", 1)]
