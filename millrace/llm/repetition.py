@@ -74,12 +74,14 @@ def share_sketches(shares: DataFrame, groups: Sequence[str], share: str = "share
 def adaptive_thresholds(sketches: DataFrame, groups: Sequence[str], quantile: float = 0.98, floor: float = 0.1, ceiling: float = 0.5, least: int = 200) -> DataFrame:
     """``groups…, threshold``: the share that a group's ``quantile`` reaches, held between ``floor`` and ``ceiling``.
 
-    A group of fewer than ``least`` documents takes the quantile of all groups, by merging their sketches.
+    A group of n documents, fewer than ``least``, takes n / ``least`` of its own quantile and the rest of the quantile of
+    all groups, by merging their sketches; so no threshold jumps as a group grows.
     """
     overall = sketches.agg(F.kll_merge_agg_double(F.col("sketch")).alias("all"))  # one row
     n, own = F.kll_sketch_get_n_double("sketch"), F.kll_sketch_get_quantile_double(F.col("sketch"), F.lit(quantile))
+    weight = F.least(F.lit(1.0), n / max(least, 1))
     common = F.kll_sketch_get_quantile_double(F.col("all"), F.lit(quantile))
-    return sketches.join(F.broadcast(overall)).select(*groups, F.greatest(F.lit(floor), F.least(F.lit(ceiling), F.when(n >= least, own).otherwise(common))).alias("threshold"))
+    return sketches.join(F.broadcast(overall)).select(*groups, F.greatest(F.lit(floor), F.least(F.lit(ceiling), own * weight + common * (1 - weight))).alias("threshold"))
 
 
 def flag_repetitive(df: DataFrame, keep: Sequence[str], lang: str = "lang", source: str = "source", text: str = "text", n: int = 4, **limits) -> DataFrame:

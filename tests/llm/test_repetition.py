@@ -40,6 +40,14 @@ def test_thresholds_adapt(spark):
     assert {r.lang: r.threshold for r in tight}["en"] == 0.3 and {r.lang: r.threshold for r in tight}["de"] == 0.4
 
 
+def test_thresholds_do_not_jump_as_a_group_grows(spark):
+    """Own quantile 0.4, that of all groups about 0.2."""
+    data = [(f"g{n}", "a", 0.4) for n in (20, 100, 199, 200, 201) for _ in range(n)] + [("big", "a", 0.2)] * 40_000
+    s = share_sketches(spark.createDataFrame(data, "lang string, source string, share double"), ["lang", "source"])
+    got = {r.lang: r.threshold for r in adaptive_thresholds(s, ["lang", "source"], quantile=0.9).collect()}
+    assert [round(got[f"g{n}"], 3) for n in (20, 100, 199, 200, 201)] == [0.22, 0.3, 0.399, 0.4, 0.4] and abs(got["big"] - 0.2) < 1e-6
+
+
 def test_sketches_of_loads_merge(spark):
     df = spark.range(1000).selectExpr("'en' AS lang", "'a' AS source", "id / 1000 AS share")
     parts = share_sketches(df.filter("share < 0.5"), ["lang", "source"]).union(share_sketches(df.filter("share >= 0.5"), ["lang", "source"]))
