@@ -160,6 +160,14 @@ for _codec in ("none", "lz4_raw", "zstd"):
     SQL[f"io_parquet_roundtrip_{_codec}"] = "SELECT watchid, userid, url, eventdate, eventtime, regionid FROM hits"
 
 
+def io_parquet_roundtrip_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Without strings, so that delta pages are written."""
+    t = spark.read.parquet(f"{d}/hits.parquet").select("watchid", "userid", "eventdate", "eventtime", "regionid")
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    write_table(t, path, TableSchema.of_struct(t.schema), "zstd", {"watchid": "plain", "eventdate": "frame_of_reference", "eventtime": "delta", "regionid": "rle"})
+    return read_table(spark, path)
+
+
 def io_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """All of hits as text and back: NULL and '' stay apart, quotes and non-ASCII text survive."""
     t = spark.read.parquet(f"{d}/hits.parquet")
@@ -173,5 +181,5 @@ def io_projected_scan(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, f"{d}/hits.parquet", [2, "url"])
 
 
-QUERIES |= {"io_csv_roundtrip": io_csv_roundtrip, "io_projected_scan": io_projected_scan}
-SQL |= {"io_csv_roundtrip": "SELECT * FROM hits", "io_projected_scan": "SELECT userid, url FROM hits"}
+QUERIES |= {"io_parquet_roundtrip_delta": io_parquet_roundtrip_delta, "io_csv_roundtrip": io_csv_roundtrip, "io_projected_scan": io_projected_scan}
+SQL |= {"io_parquet_roundtrip_delta": "SELECT watchid, userid, eventdate, eventtime, regionid FROM hits", "io_csv_roundtrip": "SELECT * FROM hits", "io_projected_scan": "SELECT userid, url FROM hits"}

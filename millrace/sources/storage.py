@@ -24,7 +24,8 @@ _ALLOWED = {"dictionary": ("string",), "rle": (*_INTEGERS, "double", "bool", "ch
 def write_table(df: DataFrame, path: str, schema: TableSchema, compression: str = "lz4", encodings: Mapping[str, str] | None = None, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
     """Write a table whose names and types must be the schema's; a NULL in a NOT NULL column stops the write.
 
-    ``encodings`` steers single columns: ``plain`` turns the dictionary off, ``dictionary`` on; ``delta``,
+    ``encodings`` steers single columns: ``plain`` turns the dictionary off, ``dictionary`` and ``rle`` on (the ids of a
+    dictionary are run-length coded; booleans, which have none, get run lengths from format 2); ``delta``,
     ``frame_of_reference`` and ``bit_packing`` ask for Parquet's delta pages (format 2), which hold a block's least value
     and bit-packed residuals. They are asked for only in tables without strings: format 2 would also turn plain strings
     into delta pages, which Spark's vectorised reader was seen to misread in uncompressed files. The codec holds for the whole table. Statistics are always written.
@@ -42,8 +43,9 @@ def write_table(df: DataFrame, path: str, schema: TableSchema, compression: str
         if schema[name].type not in _ALLOWED.get(e, TYPES):
             raise ValueError(f"column {name!r}: {e} doesn't hold {schema[name].type}")
         if e != "auto":
-            w = w.option(f"parquet.enable.dictionary#{name}", e == "dictionary")
-        if e in ("delta", "frame_of_reference", "bit_packing") and not any(TYPES[f.type] == T.StringType() for f in schema.fields):
+            w = w.option(f"parquet.enable.dictionary#{name}", e in ("dictionary", "rle"))
+        paged = e in ("delta", "frame_of_reference", "bit_packing") or e == "rle" and schema[name].type == "bool"
+        if paged and not any(TYPES[f.type] == T.StringType() for f in schema.fields):
             w = w.option("parquet.writer.version", "v2")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 

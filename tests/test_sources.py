@@ -5,6 +5,7 @@ import pytest
 
 from conftest import rows
 from millrace import cli, convert
+from millrace.plans.op_queries import QUERIES
 from millrace.schema import Field, TableSchema, parse_schema, read_schema, render_schema, write_schema
 from millrace.sources.csv_io import csv_lines, read_csv, write_csv
 from millrace.sources.storage import read_table, row_count, table_stats, write_table
@@ -121,6 +122,30 @@ def test_delta_pages(spark, tmp_path):
     assert rows(read_table(spark, str(tmp_path / "t"))) == rows(df)
 
 
+def test_run_lengths(spark, tmp_path):
+    """Long runs of a number are ids of a dictionary, those of a boolean need format 2; with strings they stay as they are."""
+    schema = TableSchema.of([("n", "int64"), ("x", "double"), ("b", "bool")])
+    df = spark.range(100_000).selectExpr("id DIV 10000 AS n", "CAST(id DIV 20000 AS double) AS x", "id < 50000 AS b").coalesce(1)
+    write_table(df, str(tmp_path / "t"), schema, "none", {"n": "rle", "x": "rle", "b": "rle"})
+    n, x, b = table_stats(str(tmp_path / "t"))
+    assert "RLE_DICTIONARY" in n.encodings and "RLE_DICTIONARY" in x.encodings and "RLE" in b.encodings and "PLAIN" not in b.encodings
+    assert all(s.bytes < 1000 for s in (n, x, b))
+    assert rows(read_table(spark, str(tmp_path / "t"))) == rows(df)
+    schema = TableSchema.of([*[(f.name, f.type) for f in schema.fields], ("s", "string")])
+    df = df.selectExpr("*", "'s' AS s")
+    write_table(df, str(tmp_path / "u"), schema, "none", {"n": "rle", "b": "rle"})
+    assert all(s.bytes < 20_000 for s in table_stats(str(tmp_path / "u")))
+    assert rows(read_table(spark, str(tmp_path / "u"))) == rows(df)
+
+
+def test_delta_round_trip_has_delta_pages(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS watchid", "id AS userid", "DATE '2013-07-01' AS eventdate", "timestamp_ntz '2013-07-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS eventtime", "CAST(id DIV 100 AS int) AS regionid").coalesce(1).write.parquet(str(tmp_path / "hits.parquet"))
+    df = QUERIES["io_parquet_roundtrip_delta"](spark, str(tmp_path))
+    pages = {s.column: s.encodings for f in df.inputFiles() for s in table_stats(f.removeprefix("file://"))}
+    assert "DELTA_BINARY_PACKED" in pages["eventtime"] and "DELTA_BINARY_PACKED" in pages["eventdate"]
+    assert rows(df) == rows(spark.read.parquet(str(tmp_path / "hits.parquet")))
+
+
 def test_storage_is_strict(spark, tmp_path):
     schema = TableSchema.of([("id", "int64"), ("s", "string", True)])
     df = spark.createDataFrame([(1, "a")], "id int, s string")
