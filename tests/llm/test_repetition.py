@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
-from millrace.llm.repetition import adaptive_thresholds, flag_repetitive, repetition, share_sketches
+from millrace.llm.repetition import adaptive_thresholds, flag_repetitive, group_thresholds, repetition, share_sketches
 
 
 def brute(ws, n=4):
@@ -34,25 +34,38 @@ def test_thresholds_adapt(spark):
     high = [("de", "a", 0.3 + i / 2000) for i in range(300)]
     few = [("fr", "b", 0.9)] * 3
     s = share_sketches(spark.createDataFrame(low + high + few, "lang string, source string, share double"), ["lang", "source"])
-    got = {r.lang: r.threshold for r in adaptive_thresholds(s, ["lang", "source"], quantile=0.9, ceiling=0.6).collect()}
-    assert abs(got["en"] - 0.27) < 0.02 and abs(got["de"] - 0.435) < 0.02 and abs(got["fr"] - 0.38) < 0.06
-    tight = adaptive_thresholds(s, ["lang", "source"], quantile=0.9, floor=0.3, ceiling=0.4).collect()
-    assert {r.lang: r.threshold for r in tight}["en"] == 0.3 and {r.lang: r.threshold for r in tight}["de"] == 0.4
+    every = sorted(x for *_, x in low + high + few)
 
+    def blend(own, n, above):
+        return above + (own - above) * n / (n + 200)
 
-def test_thresholds_do_not_jump_as_a_group_grows(spark):
-    """Own quantile 0.4, that of all groups about 0.2."""
-    data = [(f"g{n}", "a", 0.4) for n in (20, 100, 199, 200, 201) for _ in range(n)] + [("big", "a", 0.2)] * 40_000
+    got = {r.lang: (r.documents, r.threshold) for r in adaptive_thresholds(s, ["lang", "source"], quantile=0.9).collect()}
+    common = every[-(-len(every) * 9 // 10) - 1]
+    assert {k: n for k, (n, _) in got.items()} == {"en": 300, "de": 300, "fr": 3}
+    assert abs(got["en"][1] - blend(0.269, 300, blend(0.269, 300, common))) < 1e-6
+    assert abs(got["de"][1] - blend(0.4345, 300, blend(0.4345, 300, common))) < 1e-6
+    assert abs(got["fr"][1] - blend(0.9, 3, blend(0.9, 3, common))) < 1e-6
+    tight = {r.lang: r.threshold for r in adaptive_thresholds(s, ["lang", "source"], quantile=0.9, floor=0.33, ceiling=0.4).collect()}
+    assert tight["en"] == 0.33 and tight["de"] == 0.4
+    with pytest.raises(ValueError):
+        adaptive_thresholds(s, [])
+
+
+def test_small_groups_fall_back_on_their_language_by_degrees(spark):
+    """Sources of one language with own quantile 0.4, another language with 0.2: no step as a source grows."""
+    sizes = (1, 20, 100, 199, 200, 201, 2000)
+    data = [("x", f"s{n}", 0.4) for n in sizes for _ in range(n)] + [("y", "a", 0.2)] * 60_000
     s = share_sketches(spark.createDataFrame(data, "lang string, source string, share double"), ["lang", "source"])
-    got = {r.lang: r.threshold for r in adaptive_thresholds(s, ["lang", "source"], quantile=0.9).collect()}
-    assert [round(got[f"g{n}"], 3) for n in (20, 100, 199, 200, 201)] == [0.22, 0.3, 0.399, 0.4, 0.4] and abs(got["big"] - 0.2) < 1e-6
+    got = {r.source: r.threshold for r in adaptive_thresholds(s, ["lang", "source"], quantile=0.9).collect()}
+    lang = 0.2 + 0.2 * sum(sizes) / (sum(sizes) + 200)
+    assert all(abs(got[f"s{n}"] - (lang + (0.4 - lang) * n / (n + 200))) < 1e-6 for n in sizes) and got["a"] == 0.2
 
 
 def test_sketches_of_loads_merge(spark):
     df = spark.range(1000).selectExpr("'en' AS lang", "'a' AS source", "id / 1000 AS share")
     parts = share_sketches(df.filter("share < 0.5"), ["lang", "source"]).union(share_sketches(df.filter("share >= 0.5"), ["lang", "source"]))
     merged = parts.groupBy("lang", "source").agg(F.kll_merge_agg_double("sketch").alias("sketch"))
-    assert abs(adaptive_thresholds(merged, ["lang", "source"], 0.5, 0.0, 1.0).first().threshold - 0.5) < 0.03
+    assert abs(adaptive_thresholds(merged, ["lang", "source"], 0.5).first().threshold - 0.5) < 0.03
 
 
 def test_flags(spark):
@@ -61,3 +74,17 @@ def test_flags(spark):
     out = flag_repetitive(df, ["id"], quantile=0.9, least=5)
     assert rows(out, "id", "lang_key", "source_key") == [(100, "und", ""), (101, "en", "board")]
     assert rows(flag_repetitive(df.limit(0), ["id"])) == []
+
+
+def test_planted_groups_with_habits_of_their_own(spark):
+    """Verses repeat by habit, prose doesn't: the same share stands out in one source alone."""
+    def doc(i, k):
+        return " ".join(f"w{i}x{j}" for j in range(40)) + f" la{i} li lo lu" * k
+
+    data = [(i, "en", "verse", doc(i, 5)) for i in range(600)] + [(1000 + i, "en", "prose", doc(i, 0)) for i in range(600)]
+    data += [(5000, "en", "verse", doc(1, 5)), (5001, "en", "prose", doc(1, 5)), (5002, "en", "verse", doc(2, 60))]
+    df = spark.createDataFrame(data, "id int, lang string, source string, text string")
+    out = {r.id for r in flag_repetitive(df.filter("id < 5 or id >= 1000 or id % 2 = 0"), ["id"], quantile=0.99, least=1).collect()}
+    assert {5001, 5002} <= out and not any(1000 <= i < 5000 for i in out)
+    limits = {r.source_key: r.threshold for r in group_thresholds(df, quantile=0.95).collect()}
+    assert limits["verse"] > limits["prose"]
