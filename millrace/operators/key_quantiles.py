@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.expr import Expr, _c
-from millrace.lineage import discard, materialize
+from millrace.lineage import materialize
+
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 
 
 def _label(q: float) -> str:
@@ -20,81 +24,80 @@ def key_quantiles(df: DataFrame, keys: Sequence[str], value: Expr, quantiles: Se
     """Rows, values and exact quantiles for each key: ``keys, n_rows, n_values, q50, …``.
 
     A quantile q is the smallest value that at least ``q * n_values`` values (one at least) don't exceed. ``value`` must
-    be integer-like (it is read as 64-bit).
-
-    Distributed selection: each round counts values in at most ``fanout`` buckets a key, keeps for each quantile the
-    bucket in which its rank falls, with the bucket's least and greatest value, and goes on inside it, until least and
-    greatest agree. Counts are added up on the map side and merge by addition; a key's values are never gathered, and no
-    task sees more than ``fanout`` rows of one key at a time. After the first pass equal values of a key are one row
-    with a count, so neither a hot key nor a hot value makes a long task: rows spread by key and value, later by key
-    and bucket, and adaptive execution splits what still is uneven. A round costs ``log2(fanout)`` bits of the range.
+    be an integer or boolean (it is read as 64-bit); another type is an error.
+
+    A first pass counts each key's values and finds the least and the greatest. Keys with more than ``fanout`` values are
+    hot, and their values are never gathered: each round reads the rows inside the intervals where a rank is open,
+    straight from the scan, and counts them in at most ``fanout`` buckets of each interval, with each bucket's least and
+    greatest value and the exclusive or of its values. These merge, so a task sends at most ``fanout`` rows for an
+    interval, however many rows it has; rows spread by key and bucket. The bucket that holds the rank is the next
+    interval, unless it tells the value: the rank is its first or last, all values are equal, or there are three (the
+    exclusive or gives the middle one). A bucket of at most ``fanout`` values is sorted as it is. A round takes
+    ``log2(fanout)`` bits off the range. All other keys have at most ``fanout`` values and are numbered in order. The
+    joins with hot keys and open intervals are broadcasts only where Spark finds their written tables small.
 
     Rows with a NULL key are left out. NULL values count in ``n_rows`` only; a key without values has NULL quantiles.
     Empty input gives no rows. Other columns are ignored, whatever their names.
     """
     if not quantiles or any(not 0 <= q <= 1 for q in quantiles) or len({_label(q) for q in quantiles}) < len(quantiles):
         raise ValueError("quantiles must be distinct numbers from 0 to 1")
-    ks = [f"__k{i}" for i in range(len(keys))]
-    weighted = materialize(
-        df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keys, ks)], _c(value).cast("long").alias("v"))
-        .dropna(subset=ks)
-        .groupBy(*ks, "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    low, high = weighted.agg(F.min("v"), F.max("v")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    step = (high - low) // fanout + 1
-    bucketed = weighted.withColumn("b", _bucket(F.col("v"), F.lit(step).cast("long")))
-    first = _histogram(bucketed, [*ks])
+    if fanout < 8:
+        raise ValueError("fanout must be at least 8")
+    kind = df.select(_c(value).alias("v")).schema[0].dataType
+    if not isinstance(kind, _INTEGERS):
+        raise TypeError(f"quantiles of {kind.simpleString()} values: only integers have exact 64-bit ranks")
+    ks, places = [f"__k{i}" for i in range(len(keys))], range(len(quantiles))
+    given = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keys, ks)], _c(value).cast("long").alias("v")).dropna(subset=ks)
+    ranks = [F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(Decimal(str(q))) * F.col("n_values")).cast("long")) for q in quantiles]
+    rows, values = F.count(F.lit(1)), F.count("v")
+
+    totals = given.groupBy(*ks).agg(rows.alias("n_rows"), values.alias("n_values"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    hot = materialize(totals.filter(F.col("n_values") > fanout))
     over = Window.partitionBy(*ks)
-    upto = over.orderBy(F.col("b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    present = F.when(F.col("b").isNotNull(), F.col("n")).otherwise(F.lit(0).cast("long"))
-    first = first.select("*", F.sum("n").over(over).alias("n_rows"), F.sum(present).over(over).alias("n_values"), F.sum(present).over(upto).alias("cum"))
-    at = {}
-    for i, q in enumerate(quantiles):
-        rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(Decimal(str(q))) * F.col("n_values")).cast("long"))
-        here = F.col("b").isNotNull() & (F.col("cum") >= rank) & (F.col("cum") - F.col("n") < rank)
-        for part, c in (("b", F.col("b")), ("lo", F.col("lo")), ("hi", F.col("hi")), ("rank", rank - F.col("cum") + F.col("n"))):
-            at[f"t{i}_{part}"] = F.max(F.when(here, c))  # plain numbers: a struct would make this a sort
-    base = materialize(first.groupBy(*ks).agg(F.first("n_rows").alias("n_rows"), F.first("n_values").alias("n_values"), *[a.alias(n) for n, a in at.items()]))
-
-    # open targets: key, number of the quantile, interval (least and greatest value inside) and rank within it
-    targets = F.array(*[F.struct(*[F.col(f"t{i}_{part}").alias(part) for part in ("b", "lo", "hi", "rank")]) for i in range(len(quantiles))])
-    exploded = base.select(*ks, F.posexplode(targets).alias("i", "t")).select(*ks, "i", "t.b", "t.lo", "t.hi", "t.rank")
-    open_ = exploded.filter("lo < hi")
+    others = given.join(hot.select(*ks), ks, "left_anti")
+    numbered = others.select("*", F.row_number().over(over.orderBy(F.col("v").asc_nulls_last())).alias("at"), rows.over(over).alias("n_rows"), values.over(over).alias("n_values"))
+    cold = numbered.groupBy(*ks).agg(F.first("n_rows").alias("n_rows"), F.first("n_values").alias("n_values"), *[F.max(F.when(F.col("at") == r, F.col("v"))).alias(f"s{i}") for i, r in zip(places, ranks)])
+
+    # open ranks: key, number of the quantile, and the rank within an interval of known ends and number of values
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), r.alias("r")) for i, r in zip(places, ranks)])).alias("t")
+    targets = hot.select(*ks, "lo", "hi", F.col("n_values").alias("n"), asked).select(*ks, "lo", "hi", "n", "t.i", "t.r")
+    ends = F.when((F.col("r") == 1) | (F.col("lo") == F.col("hi")), F.col("lo")).when(F.col("r") == F.col("n"), F.col("hi"))
+    found = materialize(targets.withColumn("s", ends))
     solved: list[DataFrame] = []
-    active, on = bucketed, [*ks, "b"]
-    while not open_.isEmpty():
-        intervals = open_.select(*on, "lo", "hi").distinct()
-        inside = active.select(*on, "v", "c").join(intervals, on)
-        width = F.call_function("div", F.col("hi") - F.col("lo"), F.lit(fanout)) + 1
-        rows = materialize(inside.select(*ks, F.col("lo").alias("g"), "v", "c", _bucket(F.col("v"), width).alias("b")))
+    while True:
+        solved.append(found.filter("s IS NOT NULL").select(*ks, "i", "s"))
+        open_ = found.filter("s IS NULL")
+        intervals = open_.groupBy(*ks, "lo", "hi", "n").agg(F.collect_list(F.struct("i", "r")).alias("asked"))  # at most one for each quantile
+        few, many = (materialize(intervals.filter(c)) for c in (F.col("n") <= fanout, F.col("n") > fanout))
+        inside = lambda some: given.join(some, ks).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        if not few.isEmpty():
+            sorted_ = inside(few).groupBy(*ks, "lo").agg(F.array_sort(F.collect_list("v")).alias("vs"), F.first("asked").alias("asked"))
+            solved.append(materialize(sorted_.select(*ks, "vs", F.explode("asked").alias("t")).select(*ks, "t.i", F.element_at("vs", F.col("t.r").cast("int")).alias("s"))))
+        if many.isEmpty():
+            break
+        finer = inside(many).select(*ks, F.col("lo").alias("g"), _bucket(fanout).alias("b"), "v")
         upto = Window.partitionBy(*ks, "g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        counted = _histogram(rows, [*ks, "g"]).withColumn("cum", F.sum("n").over(upto))
-        wanted = open_.select(*ks, "i", F.col("lo").alias("g"), F.col("rank").alias("r"))
-        hit = counted.join(wanted, [*ks, "g"]).filter("cum >= r and cum - n < r")
-        done = materialize(hit.select(*ks, "i", "g", "b", "lo", "hi", (F.col("r") - F.col("cum") + F.col("n")).alias("rank")))
-        solved.append(done.filter("lo = hi").select(*ks, "i", "lo"))
-        if active is not bucketed:
-            discard(active)
-        active, on, open_ = rows, [*ks, "g", "b"], done.filter("lo < hi")
-    names = [_label(q) for q in quantiles]
-    out = base
-    values: list[Column] = [F.col(f"t{i}_lo") for i in range(len(quantiles))]
-    if solved:
-        late = solved[0]
-        for s in solved[1:]:
-            late = late.union(s)
-        late = late.groupBy(*ks).agg(*[F.max(F.when(F.col("i") == i, F.col("lo"))).alias(f"s{i}") for i in range(len(quantiles))])
-        out = base.join(late, ks, "left")
-        values = [F.when(F.col(f"t{i}_lo") == F.col(f"t{i}_hi"), F.col(f"t{i}_lo")).otherwise(F.col(f"s{i}")) for i in range(len(quantiles))]
-    return out.select(*[F.col(k).alias(c) for k, c in zip(ks, keys)], "n_rows", "n_values", *[v.alias(n) for v, n in zip(values, names)])
-
-
-def _bucket(v: Column, width: Column) -> Column:
-    """Number of the bucket of ``v``, order kept. The bucket around zero is twice as wide."""
-    return F.call_function("div", v, width)
-
-
-def _histogram(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.groupBy(*by, "b").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counted = finer.groupBy(*ks, "g", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.bit_xor("v").alias("x")).withColumn("cum", F.sum("n").over(upto))
+        wanted = many.select(*ks, F.col("lo").alias("g"), F.explode("asked").alias("t")).select(*ks, "g", "t.i", "t.r")
+        rank = F.col("r") - F.col("cum") + F.col("n")
+        hit = counted.join(wanted, [*ks, "g"]).filter("cum >= r AND cum - n < r")
+        found = materialize(hit.select(*ks, "lo", "hi", "n", "i", rank.alias("r"), _solved(rank).alias("s")))
+    late = functools.reduce(DataFrame.union, solved).groupBy(*ks).agg(*[F.max(F.when(F.col("i") == i, F.col("s"))).alias(f"s{i}") for i in places])
+    out = cold.unionByName(hot.select(*ks, "n_rows", "n_values").join(late, ks))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(ks, keys)], "n_rows", "n_values", *[F.col(f"s{i}").alias(_label(q)) for i, q in zip(places, quantiles)])
+
+
+def _bucket(fanout: int) -> Column:
+    """Number of the bucket of ``v`` between ``lo`` and ``hi``, by halves of the numbers so that no difference overflows."""
+    half = lambda c: F.shiftright(c, 1)
+    width = F.call_function("div", half(F.col("hi")) - half(F.col("lo")), F.lit(fanout // 2)) + 1  # of halves
+    wide = F.call_function("div", half(F.col("v")) - half(F.col("lo")), width)
+    narrow = F.call_function("div", F.col("v") - F.col("lo"), F.call_function("div", F.col("hi") - F.col("lo"), F.lit(fanout)) + 1)
+    return F.when(half(F.col("hi")) - half(F.col("lo")) > F.lit(2**61), wide).otherwise(narrow)
+
+
+def _solved(rank: Column) -> Column:
+    """The value at a rank within a bucket, if the bucket's four numbers tell it."""
+    lo, hi = F.col("lo"), F.col("hi")
+    middle = F.when(F.col("n") == 3, F.col("x").bitwiseXOR(lo).bitwiseXOR(hi))
+    return F.when((rank == 1) | (lo == hi), lo).when(rank == F.col("n"), hi).otherwise(middle)
