@@ -23,22 +23,18 @@ def sessionize(df: DataFrame, user: str = "userid", time: Expr = "eventtime", ga
     The events are sorted by user and time over the whole cluster (range partitions, so a user with a third of all
     events spreads over many of them) and each partition is scanned once, with the open session as its only state. A
     partition's first and last sessions may go on in its neighbours; these two a partition are merged afterwards.
-    Events of one user in the same second travel as one row with a count, so a repeated instant can't fill a partition.
+    The place of an event in the input is the last sort key of the range partitions, so a single instant with very many
+    events spreads too.
 
     Rows with a NULL user or time have no place in a session and are left out. Fractions of seconds are cut off. Empty
     input gives no rows; ties and repeated rows all count as events. Other columns are ignored.
     """
     kind = df.select(F.col(user).alias("u")).schema[0].dataType
-    events = (
-        df.select(F.col(user).alias("u"), wall_seconds(time).alias("t"))
-        .dropna()
-        .groupBy("u", "t")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ordered = events.repartitionByRange("u", "t").sortWithinPartitions("u", "t")
+    events = df.select(F.col(user).alias("u"), wall_seconds(time).alias("t")).dropna().withColumn("place", F.monotonically_increasing_id())
+    ordered = events.repartitionByRange("u", "t", "place").select("u", "t").sortWithinPartitions("u", "t")
     shape = T.StructType([T.StructField("u", kind), *(T.StructField(c, T.LongType()) for c in ("s", "e", "n")), T.StructField("edge", T.BooleanType())])
     parts = materialize(ordered.mapInArrow(_scan(gap), shape))
-    by_user = Window.partitionBy("u").orderBy("s")
+    by_user = Window.partitionBy("u").orderBy("s", "e")
     edges = parts.filter("edge").withColumn("fresh", F.coalesce(F.col("s") - F.lag("e").over(by_user) > gap, F.lit(True)).cast("int"))
     merged = (
         edges.withColumn("k", F.sum("fresh").over(by_user.rowsBetween(Window.unboundedPreceding, 0)))
@@ -61,11 +57,11 @@ def _scan(gap: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            u, t, n = b.column(0), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            u, t = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
             cut = np.ones(len(t), bool)
             cut[1:] = pc.not_equal(u[1:], u[:-1]).to_numpy(zero_copy_only=False) | (np.diff(t) > gap)
             at = np.flatnonzero(cut)
-            start, end, total = t[at], t[np.append(at[1:], len(t)) - 1], np.add.reduceat(n, at)
+            start, end, total = t[at].copy(), t[np.append(at[1:], len(t)) - 1], np.diff(np.append(at, len(t)))
             who = u.take(pa.array(at))
             if open_ is not None:
                 ou, os_, oe, on = open_
