@@ -10,10 +10,14 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PREFIX = "millrace-"
 _own: dict[str, str] = {}
 _written: set[tuple[SparkSession, str]] = set()
 
@@ -30,39 +34,52 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="millrace-")
+        _own[app] = tempfile.mkdtemp(prefix=_PREFIX)
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return "file://" + _own[app]
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, to be removed with the tables of :func:`materialize`."""
+    path = f"{shared_dir(spark)}/{_PREFIX}{uuid.uuid4().hex}"
+    _written.add((spark, path))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder, and read back.
 
     Parquet keeps the table far smaller than a serialized-row checkpoint, and readers prune columns of it. Hand the
-    result to :func:`discard` as soon as nothing reads it any more; what is left is removed when the driver ends.
+    result to :func:`discard` as soon as nothing reads it any more, or work in a :func:`scope`; what is left is removed
+    when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _written.add((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path  # type: ignore[attr-defined]
     return out
 
 
-#: Bytes of input for each core below which a scan can't be cut finely enough to keep the cores busy.
-SMALL_SPLIT = 4 << 20
-
+@contextmanager
+def scope() -> Iterator[None]:
+    """Removes at its end the intermediate tables written inside; results must have been read or written by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written - before:
+            _remove(spark, path)
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if the tables it reads are too small for their scans to fill them.
 
-    For steps that take much CPU a row. Larger inputs have splits enough and pass through as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
-    return df.repartition(cores) if size < cores * SMALL_SPLIT else df
+def sweep(spark: SparkSession, hours: float = 48) -> int:
+    """Remove intermediate tables of drivers that were killed: those in the shared folder not touched for some hours."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith(_PREFIX) and f.getModificationTime() < (time.time() - hours * 3600) * 1000]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
 
 
 def discard(df: DataFrame | None) -> None:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.lineage import spread
+from millrace.lineage import materialize
 from millrace.schema import TYPES, TableSchema
 
 #: Reasons in the order in which they are looked for; a record gets the first that holds.
@@ -129,7 +129,7 @@ _HASHES = ("__content", "__check")
 
 
 def _content(raw: str) -> list[Column]:
-    """128 bits that stand for a record."""
+    """128 bits that stand for a record: of n different ones two share them with a chance of about n²/2¹²⁹."""
     c = F.col(f"`{raw}`")
     return [F.xxhash64(c.isNull(), c).alias(_HASHES[0]), F.xxhash64(F.lit("check"), c).alias(_HASHES[1])]
 
@@ -150,12 +150,16 @@ def split_records(df: DataFrame, raw: str, schema: TableSchema, key: Sequence[st
     a quote in an unquoted field), else ``columns`` (the wrong number of fields), else ``value`` (a field that its type
     can't read; an unquoted empty field is NULL in a nullable column, ``''`` in another string column, else invalid).
 
+    The records are judged once, when this is called, and the failures are written (key, hashes, reason); both results
+    read them. A join with them is a broadcast only where that table is small; a record is matched by its key and by 128
+    bits of its content, so a good one is mistaken for a broken one with a chance of about n²/2¹²⁹.
+
     ``key`` names columns that tell records apart (they only spread the work: the verdict depends on the content alone,
     so repeated and NULL keys do no harm). An input column named ``reason`` stays, and the
     new one is ``_reason``. ``valid`` has the key columns and the schema's; a key that bears a schema
     column's name is left out of it. A NULL record fails by ``columns``. Empty input gives two empty tables.
     """
-    found = errors(spread(df), raw, schema, key, delimiter, quote)
+    found = materialize(errors(df, raw, schema, key, delimiter, quote))
     name = "reason"
     while name in {c.lower() for c in df.columns}:
         name = "_" + name

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import aggs as A
 from millrace.functions import expr as E
-from millrace.lineage import shared_dir
+from millrace.lineage import scratch
 from millrace.operators.relational import count_table, filter_, global_aggregate, group_aggregate, project, top_n
 from millrace.plans.clickstream import HOST_PREFIXES
 from millrace.schema import TableSchema
@@ -148,7 +147,7 @@ _op("op_full_row_topn", "hits_full", "SELECT * FROM hits_full WHERE contains(url
 def _there_and_back(codec: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         t = spark.read.parquet(f"{d}/hits.parquet").select("watchid", "userid", "url", "eventdate", "eventtime", "regionid")
-        path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+        path = scratch(spark)
         write_table(t, path, TableSchema.of_struct(t.schema), codec, {"url": "dictionary", "watchid": "plain", "eventtime": "delta"})
         return read_table(spark, path)
 
@@ -163,7 +162,7 @@ for _codec in ("none", "lz4_raw", "zstd"):
 def io_parquet_roundtrip_delta(spark: SparkSession, d: str) -> DataFrame:
     """Without strings, so that delta pages are written."""
     t = spark.read.parquet(f"{d}/hits.parquet").select("watchid", "userid", "eventdate", "eventtime", "regionid")
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(spark)
     write_table(t, path, TableSchema.of_struct(t.schema), "zstd", {"watchid": "plain", "eventdate": "frame_of_reference", "eventtime": "delta", "regionid": "rle"})
     return read_table(spark, path)
 
@@ -172,7 +171,7 @@ def io_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """All of hits as text and back: NULL and '' stay apart, quotes and non-ASCII text survive."""
     t = spark.read.parquet(f"{d}/hits.parquet")
     schema = TableSchema.of_struct(t.schema)
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch(spark)
     write_csv(t, path, schema, header=True)
     return read_csv(spark, path, schema, header=True)
 
