@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.expr import Expr, _c
+from millrace.functions.expr import Expr, _c, as_int, not_floating
 
 
 def count_star() -> Column:
@@ -17,8 +17,8 @@ def count_star() -> Column:
 
 
 def sum_int(x: Expr) -> Column:
-    """64-bit sum of integers; NULL over no values."""
-    return F.sum(_c(x).cast("long"))
+    """64-bit sum of integers; NULL over no values, an error for other types."""
+    return F.sum(as_int(x))
 
 
 def sum_double(x: Expr) -> Column:
@@ -51,13 +51,13 @@ def _fsum(x: Column) -> Column:
 
 
 def avg_int(x: Expr) -> Column:
-    """Integer mean: 128-bit sum over the count, truncated toward zero; NULL over no values."""
-    return F.call_function("div", F.sum(_c(x).cast(T.DecimalType(38, 0))), F.count(_c(x)))
+    """Integer mean: 128-bit sum over the count, truncated toward zero; NULL over no values, an error for other types."""
+    return F.call_function("div", F.sum(as_int(x).cast(T.DecimalType(38, 0))), F.count(_c(x)))
 
 
 def count_distinct(x: Expr) -> Column:
-    """Exact number of distinct values; NULLs don't count."""
-    return F.count_distinct(_c(x))
+    """Exact number of distinct values; NULLs don't count, floating values are an error."""
+    return F.count_distinct(not_floating(x))
 
 
 def min_(x: Expr) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,9 +61,35 @@ def times(a: Expr, b: Expr | int) -> Column:
     return as_int(a) * as_int(b)
 
 
+_INTEGERS = ("tinyint", "smallint", "int", "bigint", "boolean", "void")
+
+
 def as_int(x: Expr | int) -> Column:
-    """Widen an integer-like operand to 64 bits; overflow beyond that raises under ANSI."""
-    return const(x) if isinstance(x, int) else _c(x).cast("long")
+    """Widen an integer or boolean operand to 64 bits; overflow beyond that raises under ANSI, and so does another type.
+
+    The test of the type is folded away when the plan is built.
+    """
+    if isinstance(x, int):
+        return const(x)
+    c = _c(x)
+    return F.when(F.typeof(c).isin(*_INTEGERS), c.cast("long")).otherwise(F.raise_error(F.concat(F.lit("an integer is needed, not "), F.typeof(c))))
+
+
+def not_floating(x: Expr) -> Column:
+    """The operand; a floating one raises."""
+    c = _c(x)
+    return F.when(~F.typeof(c).isin("double", "float"), c).otherwise(F.raise_error(F.concat(F.typeof(c), F.lit(" values aren't told apart"))))
+
+
+_SIGNS = {"=": Column.__eq__, "<>": Column.__ne__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
+
+
+def compare_double(a: Expr, sign: str, b: Expr | float) -> Column:
+    """A comparison of doubles by IEEE 754: NaN differs from every number and itself, and is neither less nor greater."""
+    x, y = (_c(v).cast("double") if isinstance(v, (str, Column)) else F.lit(float(v)) for v in (a, b))
+    nan = F.isnan(x) | F.isnan(y)
+    found = _SIGNS[sign](x, y)
+    return found | nan if sign == "<>" else found & ~nan
 
 
 def char_code(x: Expr) -> Column:
@@ -98,9 +126,45 @@ def case(condition: Column, then: Column, otherwise: Column) -> Column:
 
 
 def re2_pattern(pattern: str) -> str:
-    """The same pattern for Java's engine: Unix lines, and a closing ``$`` that is the very end of the text."""
-    body = re.sub(r"(?<!\\)((?:\\\\)*)\$$", r"\1\\z", pattern)
-    return "(?d)" + body
+    """The same pattern for Java's engine.
+
+    Lines end at ``\\n`` alone, ``$`` is the end of the text wherever it stands (with the flag ``m`` of a line), a bracket
+    or ``&&`` inside a class means itself, ``[:alpha:]``, ``(?P<name>…)`` and names of scripts take Java's form. What RE2
+    doesn't have is an error: looking around, back references, possessive and atomic groups.
+    """
+    bare = re.sub(r"\\Q.*?(?:\\E|\Z)|\[\^?\]?(?:\[:\^?[a-z]+:\]|[^\]\\]|\\.)*\]", "[]", pattern, flags=re.DOTALL)
+    bare = re.sub(r"\\[pP]\{[^}]*\}", "p", bare)
+    if re.search(r"(?<!\\)(?:\\\\)*(?:\(\?(?:[=!>]|<[=!])|[*+?}]\+|\\[1-9])", bare):
+        raise ValueError(f"not an RE2 pattern: {pattern!r}")
+    by_line = re.search(r"\(\?[a-zA-Z]*m", pattern)
+    out, i, inside = ["(?d)"], 0, 0  # inside: place in the output where a class begins
+    while i < len(pattern):
+        rest = pattern[i:]
+        quoted, script, posix, named = (re.match(x, rest, re.DOTALL) for x in (r"\\Q.*?(?:\\E|\Z)", r"\\([pP])\{(\^?)([A-Za-z]{3,}[A-Za-z_]*)\}", r"\[:(\^?)([a-z]+):\]", r"\(\?P<"))
+        if quoted:
+            taken, put = quoted[0], quoted[0] if quoted[0].endswith("\\E") else quoted[0] + "\\E"
+        elif script:
+            taken, put = script[0], f"\\{'P' if (script[1] == 'P') != bool(script[2]) else 'p'}{{Is{script[3]}}}"
+        elif rest[0] == "\\":
+            taken = put = rest[:2]
+        elif inside and posix:
+            name = {"xdigit": "XDigit", "word": "w"}.get(posix[2], posix[2].capitalize())
+            taken, put = posix[0], ("\\W" if posix[1] else "\\w") if name == "w" else f"\\{'P' if posix[1] else 'p'}{{{'ASCII' if name == 'Ascii' else name}}}"
+        elif inside:
+            taken, first = rest[0], "".join(out[inside:]) in ("[", "[^")
+            put = "\\" + taken if taken in "[&" or taken == "]" and first else taken
+            inside = 0 if taken == "]" and not first else inside
+        elif rest[0] == "[":
+            taken, inside = re.match(r"\[\^?", rest)[0], len(out)
+            put = taken
+        elif named:
+            taken, put = named[0], "(?<"
+        else:
+            taken = rest[0]
+            put = "\\z" if taken == "$" and not by_line else taken
+        out.append(put)
+        i += len(taken)
+    return "".join(out)
 
 
 def re2_rewrite(rewrite: str) -> str:
@@ -124,12 +188,17 @@ def re2_rewrite(rewrite: str) -> str:
 
 
 def re2_replace(x: Expr, pattern: str, rewrite: str) -> Column:
-    """Replace every match; both arguments are checked when the plan is built."""
-    groups = re.compile(pattern).groups
+    """Replace every match; both arguments are checked by Java's engine when the plan is built."""
+    java, jvm = re2_pattern(pattern), SparkContext._active_spark_context._jvm
+    try:
+        groups = jvm.java.util.regex.Pattern.compile(java).matcher("").groupCount()
+    except IllegalArgumentException as e:
+        raise ValueError(f"bad pattern {pattern!r}: {e}") from None
+    put = re2_rewrite(rewrite)
     for ref in re.findall(r"(?<!\\)(?:\\\\)*\\(\d)", rewrite):
         if int(ref) > groups:
             raise ValueError(f"rewrite refers to group {ref}, the pattern has {groups}")
-    return F.regexp_replace(_c(x), F.lit(re2_pattern(pattern)), F.lit(re2_rewrite(rewrite)))
+    return F.regexp_replace(_c(x), F.lit(java), F.lit(put))
 
 
 def prefix_capture(x: Expr, prefixes: Sequence[str], delimiter: str, require_non_empty: bool = True, single_line_tail: bool = True) -> Column:

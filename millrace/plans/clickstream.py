@@ -149,9 +149,14 @@ def q21(h, p):
 
 
 def q22(h, p):
+    """Ties of the count go by window width and hit id, if the table has both."""
     kept = _phrases(filter_(h, E.contains("Title", p.title_needle) & E.not_contains("URL", p.url_not)))
-    grouped = group_aggregate(kept, {"SearchPhrase": "SearchPhrase"}, {"min_url": A.min_("URL"), "min_title": A.min_("Title"), "c": A.count_star(), "distinct_u": A.count_distinct("UserID"), "w": A.max_("WindowClientWidth"), "id": A.min_("WatchID")})
-    return top_n(grouped, [("c", False), ("w", False), ("id", True)], 10, tie_break=["SearchPhrase"]).drop("w", "id")
+    aggs = {"min_url": A.min_("URL"), "min_title": A.min_("Title"), "c": A.count_star(), "distinct_u": A.count_distinct("UserID")}
+    order = [("c", False)]
+    if {"windowclientwidth", "watchid"} <= {c.lower() for c in h.columns}:
+        aggs |= {"w": A.max_("WindowClientWidth"), "id": A.min_("WatchID")}
+        order += [("w", False), ("id", True)]
+    return top_n(group_aggregate(kept, {"SearchPhrase": "SearchPhrase"}, aggs), order, 10, tie_break=["SearchPhrase"]).drop("w", "id")
 
 
 def q23(h, p):
@@ -186,7 +191,7 @@ def q28(h, p):
 def q29(h, p):
     """SUM(x + i) for 90 values of i is SUM(x) + i COUNT(x): two aggregates, not ninety."""
     base = h.agg(A.sum_int("ResolutionWidth").alias("s"), F.count("ResolutionWidth").alias("n"))
-    return project(base, {f"sum{i}": F.col("s") + F.lit(i).cast("long") * F.col("n") for i in range(90)})
+    return base.selectExpr(*[f"s + {i}L * n AS sum{i}" for i in range(90)])
 
 
 def _refreshes(h: DataFrame, keys: Sequence[str]) -> DataFrame:

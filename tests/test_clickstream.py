@@ -1,62 +1,77 @@
+"""The 43 queries on a small table of our own, with NULLs, ties and repeated rows, against DuckDB and by hand."""
+
 import datetime as dt
 
+import duckdb
 import pytest
 
+from conftest import rows
 from millrace.plans import clickstream
-
-NAMES = "AdvEngineID,ResolutionWidth,UserID,RegionID,SearchPhrase,EventDate,URL,MobilePhoneModel,Title,EventTime,CounterID,DontCountHits,IsRefresh,MobilePhone,SearchEngineID,ClientIP,WatchID,IsLink,IsDownload,URLHash,RefererHash,Referer,WindowClientWidth,WindowClientHeight,TraficSourceID".split(",")
-KINDS = {"SearchPhrase": "string", "URL": "string", "MobilePhoneModel": "string", "Title": "string", "Referer": "string", "EventDate": "date", "EventTime": "timestamp_ntz"}
-MINI = """0,100,10,1,alpha,2013-07-02,example.com,iPhone,Example,2013-07-02 10:00:00,62,0,0,1,2,1000,7,1,0,111,222,http://www.referrer.example/page,1920,1080,-1
-1,200,10,1,beta,2013-07-01,google.com,Pixel,Google News,2013-07-01 09:00:00,62,0,0,1,3,1000,8,0,0,111,222,https://news.google.com/feed,1366,768,6
-2,300,20,2,alpha,2013-07-03,https://google.org/path,iPhone,Other,2013-07-03 08:00:00,63,0,0,2,2,2000,8,1,1,333,222,example.org,1920,1080,2"""
-
-
-@pytest.fixture(scope="module")
-def hits(spark):
-    def cell(name, v):
-        kind = KINDS.get(name, "long")
-        return v if kind == "string" else dt.date.fromisoformat(v) if kind == "date" else dt.datetime.fromisoformat(v) if kind == "timestamp_ntz" else int(v)
-
-    data = [tuple(cell(n, v) for n, v in zip(NAMES, line.split(","))) for line in MINI.split("\n")]
-    return spark.createDataFrame(data, ", ".join(f"{n} {KINDS.get(n, 'long')}" for n in NAMES))
-
-
-def ask(hits, q):
-    return [tuple(r) for r in clickstream.run(hits, q).collect()]
-
-
-EXACT = {
-    0: [(3,)], 1: [(2,)], 20: [(2,)], 2: [(3, 3, 200)], 3: [(13,)], 4: [(2,)], 5: [(2,)], 6: [(dt.date(2013, 7, 1), dt.date(2013, 7, 3))],
-    12: [("alpha", 2), ("beta", 1)], 15: [(10, 2), (20, 1)], 17: [(10, "alpha", 1), (10, "beta", 1), (20, "alpha", 1)], 19: [],
-    22: [("beta", "google.com", "Google News", 1, 1)], 25: [("alpha",), ("alpha",), ("beta",)], 35: [(1000, 999, 998, 997, 2), (2000, 1999, 1998, 1997, 1)],
-    27: [], 28: [], 40: [], 41: [], 42: [],
+from millrace.plans.clickstream import Params
+
+SITES = ["http://www.maps.example/a", "https://shop.example/b?q=1", "ftp.example", "http://google.example/x", "", None, "https://www.search.google.test/y/z", "http://odd.example"]
+PHRASES = ["", "red kettle", None, "kayak", "Kayak", "red kettle", "zebra crossing"]
+TITLES = ["Google tips", "Tools", "", None, "About Google, again"]
+KINDS = {
+    "AdvEngineID": "short", "ResolutionWidth": "short", "UserID": "long", "RegionID": "int", "SearchPhrase": "string", "EventDate": "date", "URL": "string", "MobilePhoneModel": "string", "Title": "string",
+    "EventTime": "timestamp_ntz", "CounterID": "int", "DontCountHits": "short", "IsRefresh": "short", "MobilePhone": "short", "SearchEngineID": "short", "ClientIP": "int", "WatchID": "long", "IsLink": "short",
+    "IsDownload": "short", "URLHash": "long", "RefererHash": "long", "Referer": "string", "WindowClientWidth": "short", "WindowClientHeight": "short", "TraficSourceID": "short",
 }
-COUNTS = {7: 2, 8: 2, 9: 2, 10: 2, 11: 3, 13: 2, 14: 2, 16: 3, 18: 3, 21: 2, 23: 2, 24: 3, 26: 3, 29: 1, 30: 3, 31: 3, 32: 3, 33: 3, 34: 3, 36: 2, 37: 2, 38: 1, 39: 2}
-
-
-@pytest.mark.parametrize("q", EXACT)
-def test_exact(hits, q):
-    assert ask(hits, q) == EXACT[q]
+PARAMS = Params(user=7003, referer_hash=31, url_hash=42, having_min=3)
 
 
-@pytest.mark.parametrize("q", COUNTS)
-def test_counts(hits, q):
-    assert len(ask(hits, q)) == COUNTS[q]
+def row(i):
+    day = dt.date(2013, 7, 1 + i * 5 % 31)
+    at = dt.datetime(2013, 7, 13 + i % 4, i % 24, i * 7 % 60, i % 50)
+    user = None if i % 11 == 0 else 7000 + i % 6
+    return (i % 3, 900 + i * 13 % 400, user, i % 5, PHRASES[i % 7], day if i % 3 else at.date(), SITES[i % 8], ["", "slab", "brick"][i % 3], TITLES[i % 5], at, 62 if i % 5 else 5, i // 2 % 2, int(i % 9 == 0), i % 4, i % 2 * 3, -100 + i % 4,
+            9000 + i, i % 2, int(i % 10 == 7), 42 if i % 3 else 43, 31 if i % 3 else 30, SITES[i * 3 % 8], 1000 + i % 3 * 10, 700 + i % 2, (-1, 2, 6, 9)[i % 4])
 
 
-def test_details(hits):
-    assert ask(hits, 10)[0] == ("iPhone", 2) and ask(hits, 13)[0] == ("alpha", 2) and ask(hits, 14)[0] == (2, "alpha", 2)
-    assert list(ask(hits, 29)[0]) == [600 + 3 * i for i in range(90)]
-    first = clickstream.run(hits, 23)
-    assert len(first.columns) == 25 and [r.URL for r in first.collect()] == ["google.com", "https://google.org/path"]
-    assert [r[1] for r in ask(hits, 24)] == [dt.datetime(2013, 7, 1, 9), dt.datetime(2013, 7, 2, 10), dt.datetime(2013, 7, 3, 8)]
-    assert all(r[1:] == (0, s, 1) for r, s in zip(sorted(ask(hits, 18)), ("alpha", "beta", "alpha")))
+@pytest.fixture(scope="module")
+def hits(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("hits") / "t")
+    data = [row(i) for i in range(160)] + [row(i) for i in range(5)]
+    spark.createDataFrame(data, ", ".join(f"{n} {k}" for n, k in KINDS.items())).coalesce(2).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW hits AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    return spark.read.parquet(path), con
+
+
+@pytest.mark.parametrize("q", range(43))
+def test_same_as_sql(hits, q):
+    table, con = hits
+    df = clickstream.run(table, q, PARAMS)
+    cur = con.execute(clickstream.sql(q, PARAMS))
+    names = [d[0] for d in cur.description]
+    assert sorted(c.lower() for c in df.columns) == sorted(n.lower() for n in names)
+    got = sorted(tuple(map(str, r)) for r in df.select(*[f"`{n}`" for n in names]).collect())
+    assert got == sorted(tuple(map(str, r)) for r in cur.fetchall())
+    assert got
+
+
+def test_by_hand(hits):
+    table, _ = hits
+    ask = lambda q: [tuple(r) for r in clickstream.run(table, q, PARAMS).collect()]
+    all_rows = [row(i) for i in [*range(160), *range(5)]]
+    assert ask(0) == [(165,)]
+    widths = [r[1] for r in all_rows]
+    assert ask(2) == [(sum(r[0] for r in all_rows), 165, sum(widths) // 165)]
+    assert list(ask(29)[0]) == [sum(widths) + 165 * i for i in range(90)]
+    users = [r[2] for r in all_rows]
+    assert ask(15)[0] == max(((u, users.count(u)) for u in set(users) - {None}), key=lambda x: (x[1], -x[0]))
+    ips = [r[15] for r in all_rows]
+    assert sorted(ask(35)) == sorted((ip, ip - 1, ip - 2, ip - 3, ips.count(ip)) for ip in set(ips))
+    assert {h for h, *_ in ask(28)} <= {"maps.example", "shop.example", "ftp.example", "google.example", "search.google.test", "http://odd.example"}
+
+
+def test_ties_without_the_columns_for_them(hits):
+    table, _ = hits
+    out = clickstream.run(table.drop("WindowClientWidth"), 22, PARAMS)
+    assert out.columns == ["SearchPhrase", "min_url", "min_title", "c", "distinct_u"] and rows(out) == rows(clickstream.run(table, 22, PARAMS))
 
 
 def test_unknown_id(hits):
-    with pytest.raises(ValueError):
-        clickstream.run(hits, 43)
-
-
-def test_all_ids():
-    assert sorted(EXACT | COUNTS) == list(range(43)) == sorted(clickstream.QUERIES)
+    for q in (43, -1):
+        with pytest.raises(ValueError):
+            clickstream.run(hits[0], q)
