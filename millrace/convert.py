@@ -5,10 +5,11 @@ from __future__ import annotations
 import argparse
 import sys
 
-from millrace.schema import read_schema, write_schema
+from millrace.schema import parse_schema, render_schema
 from millrace.session import get_session
 from millrace.sources.csv_io import read_csv, write_csv
-from millrace.sources.storage import CODECS, read_table, write_table
+from millrace.sources.files import read_bytes, write_bytes
+from millrace.sources.storage import CODECS, read_table, table_schema, write_table
 
 
 def main(args: list[str] | None = None) -> int:
@@ -20,21 +21,21 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--compression", default="lz4", choices=sorted(CODECS))
     p.add_argument("--delimiter", default=",")
     p.add_argument("--header", action="store_true")
+    p.add_argument("--single-line", action="store_true", help="no field holds a line end, so one pass over the text will do")
     a = p.parse_args(args)
     if a.mode == "csv2columnar" and not a.schema:
         p.error("csv2columnar needs --schema")
     spark = get_session("millrace-convert")
     try:
         if a.mode == "csv2columnar":
-            schema = read_schema(a.schema)
-            write_table(read_csv(spark, a.input, schema, a.delimiter, header=a.header), a.output, schema, a.compression)
+            schema = parse_schema(read_bytes(spark, a.schema).decode("utf-8"))
+            write_table(read_csv(spark, a.input, schema, a.delimiter, header=a.header, multi_line=not a.single_line), a.output, schema, a.compression)
         else:
-            from millrace.schema import TableSchema
-
             df = read_table(spark, a.input)
-            write_csv(df, a.output, None, a.delimiter, header=a.header)
+            schema = table_schema(df)
+            write_csv(df, a.output, schema, a.delimiter, header=a.header)
             if a.schema:
-                write_schema(TableSchema.of_struct(df.schema), a.schema)
+                write_bytes(spark, a.schema, render_schema(schema).encode("utf-8"))
     except Exception as e:  # a command's failure is an exit code and a line
         print(f"error: {e}", file=sys.stderr)
         return 1

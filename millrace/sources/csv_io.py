@@ -9,97 +9,192 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.rejects import _split, fits, typed
+from millrace.operators.rejects import fits, typed
 from millrace.schema import TYPES, Field, TableSchema
 
-_NO_NULL = "\x01"
+_LF, _CR = 10, 13
+#: What a split of a file sends besides whole records: the end of one begun before, the beginning of one, the middle.
+_END, _BEGIN, _MIDDLE = 1, 2, 3
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: TableSchema, delimiter: str = ",", quote: str = '"', header: bool = False, multi_line: bool = True) -> DataFrame:
-    """Typed rows of delimited text.
+    """Typed rows of delimited text, whatever it holds: carriage returns, line ends in quotes, control characters.
 
     An unquoted empty field is NULL in a nullable column, ``''`` in another string column and an error elsewhere; a
-    quoted empty field is ``''``. A wrong number of fields or an unreadable value is an error. Columns that a query
-    doesn't use are neither converted nor checked. Quotes are: the call itself reads the text once and raises if a
-    quoted field isn't closed or stands beside other text, or if an unquoted field holds a quote.
-
-    One carriage return before a line end isn't part of the record; one inside a quoted field, before a line end, is
-    dropped by Spark's parser.
-
-    With ``multi_line`` a quoted field may hold line ends, and a file is read by one task; without it files are split, so
-    give large files that have no line ends inside fields that way.
-    """
-    _check_quotes(spark, path, delimiter, quote, multi_line)
-    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    text = (
-        spark.read.schema(raw)
-        .option("sep", delimiter).option("quote", quote).option("escape", quote).option("header", header).option("enforceSchema", True)
-        .option("multiLine", multi_line).option("mode", "FAILFAST").option("nullValue", _NO_NULL).option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    cells = {f.name: F.col(f"`{f.name}`") for f in schema.fields}
-    if schema.fields:  # where line ends differ within a file, the parser leaves the return in the last field
-        last = cells[schema.names[-1]]
-        cells[schema.names[-1]] = F.when(last.endswith("\r"), F.nullif(last.substr(F.lit(1), F.length(last) - 1), F.lit(""))).otherwise(last)
-    return text.select([_strict(cells[f.name], f).alias(f.name) for f in schema.fields])
-
-
-def _check_quotes(spark: SparkSession, path: str | list[str], delimiter: str, quote: str, multi_line: bool) -> None:
-    """Raise if quotes aren't sound; Spark's parser takes broken ones for text, and an open one for all that follows.
-
-    Whether a line is sound depends on the line alone and on whether it begins inside quotes. So each split of a file is
-    judged for both beginnings, in parallel, and the driver, which gets one row a split, follows each file's splits from
-    its start. Only lines with quotes take part, as flags: the others change nothing.
+    quoted empty field is ``''``. It is an error if a quoted field isn't closed or stands beside other text, if an
+    unquoted field holds a quote, if a record has the wrong number of fields (an empty line is one empty field), and if
+    a value can't be read; columns that a query doesn't use aren't converted. One carriage return before a line end
+    isn't part of the record. With ``header`` the first record of each file is left out.
+
+    Files are split and read in parallel. With ``multi_line`` a quoted field may hold line ends: a first pass over the
+    text counts the quotes of each split, so every split knows whether it begins inside a field (the driver gets one row
+    a split), and raises here if a file ends inside one. Records that lie across splits, at most one a border, are put
+    together by a second reading of the text, only if there are any. Without ``multi_line`` a record is a line and there
+    is one pass. Delimiter and quote are single ASCII characters.
     """
-    value = F.col("value")
-    lines = spark.read.option("lineSep", "\n").text(path).filter(value.contains(quote))
-    pieces = _split(F.when(value.endswith("\r"), value.substr(F.lit(1), F.length(value) - 1)).otherwise(value), quote)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), pieces.alias("p"))
-    last = F.size("p") - 1
-
-    def broken(outside: int) -> Column:
-        """Whether a piece outside quotes (those at places with this remainder) isn't parted from them by delimiters."""
-        opens, closes = lambda p, i: p.endswith(delimiter) | (i == last), lambda p, i: p.startswith(delimiter) | (i == 0)
-        return F.size(F.filter("p", lambda p, i: (i % 2 == outside) & (p != "") & ~(opens(p, i) & closes(p, i)))) > 0
-
-    flags = lines.select("file", "start", (last % 2 == 1).alias("odd"), broken(0).alias("outside"), broken(1).alias("inside"))
-    if not multi_line:
-        wrong = [r.file for r in flags.filter("odd OR outside").limit(1).collect()]
-    else:
-        wrong, ends = set(), {}
-        for r in sorted(flags.mapInArrow(_judged, flags.schema).collect(), key=lambda r: (r.file, r.start)):
-            begins = ends.get(r.file, False)
-            ends[r.file] = begins != r.odd
-            if r.inside if begins else r.outside:
-                wrong.add(r.file)
-        wrong |= {f for f, opened in ends.items() if opened}
-    if wrong:
-        raise ValueError(f"{min(wrong)}: a quoted field isn't closed or stands beside other text, or an unquoted one holds a quote")
-
-
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The flags of lines, in the order of the text, as flags of their whole splits."""
-    splits: dict[tuple[str, int], list[bool]] = {}
-    for b in batches:
-        if not b.num_rows:
-            continue
-        file, start = b.column(0).dictionary_encode(), b.column(1).to_numpy(zero_copy_only=False)
-        place = file.indices.to_numpy(zero_copy_only=False)
-        odd, outside, inside = (b.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (2, 3, 4))
-        cuts = np.flatnonzero((place[1:] != place[:-1]) | (start[1:] != start[:-1])) + 1
-        for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
-            s = splits.setdefault((file.dictionary[int(place[i])].as_py(), int(start[i])), [False, False, False])
-            opened = ((np.cumsum(odd[i:j]) - odd[i:j]) % 2 == 1) ^ s[0]  # before each line, if the split begins outside
-            s[1] |= bool(np.where(opened, inside[i:j], outside[i:j]).any())
-            s[2] |= bool(np.where(opened, outside[i:j], inside[i:j]).any())
-            s[0] ^= bool(odd[i:j].sum() % 2)
-    for (f, at), s in splits.items():
-        yield pa.RecordBatch.from_arrays([pa.array([f], pa.string()), pa.array([at], pa.int64()), *[pa.array([x], pa.bool_()) for x in s]], ["file", "start", "odd", "outside", "inside"])
+    if len(delimiter) != 1 or len(quote) != 1 or not (delimiter + quote).isascii() or delimiter == quote or set(delimiter + quote) & set("\n\r"):
+        raise ValueError("delimiter and quote must be two single ASCII characters and no line ends")
+    where = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", *where)
+    inside = _splits_inside(spark, path, quote) if multi_line else set()
+    reader = _Reader(len(schema.fields), delimiter, quote, header, multi_line, inside)
+    records = lines.mapInArrow(reader.rows, "cells array<string>")
+    if inside:
+        records = records.union(_across(lines.mapInArrow(reader.borders, _BORDER), reader))
+    return records.select([_strict(F.get("cells", F.lit(i)), f).alias(f.name) for i, f in enumerate(schema.fields)])
+
+
+def _splits_inside(spark: SparkSession, path: str | list[str], quote: str) -> set[tuple[int, int]]:
+    """Splits that begin inside a quoted field, by a count of the quotes in each; one row a split comes to the driver."""
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    quotes = F.length("value") - F.length(F.translate("value", quote, ""))
+    counted = spark.read.option("lineSep", "\n").text(path).select(*where, quotes.alias("n")).groupBy("file", "start").agg(F.sum("n").alias("n"))
+    opened: dict[str, bool] = {}
+    found = set()
+    for r in sorted(counted.select("*", F.xxhash64("file").alias("hash")).collect(), key=lambda r: (r.file, r.start)):
+        if opened.get(r.file):
+            found.add((r.hash, r.start))
+        opened[r.file] = opened.get(r.file, False) ^ bool(r.n % 2)
+    for file, is_open in opened.items():
+        if is_open:
+            raise ValueError(f"{file}: a quoted field isn't closed")
+    return found
+
+
+_BORDER = "file long, start long, kind int, heading boolean, text binary"
+
+
+def _across(borders: DataFrame, reader: _Reader) -> DataFrame:
+    """Records that lie across splits, from their pieces: two or three a split, in the order of the file."""
+    order = Window.partitionBy("file").orderBy("start", "kind")
+    numbered = borders.withColumn("record", F.sum((F.col("kind") == _BEGIN).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = F.array_sort(F.collect_list(F.struct("start", "kind", "text")))
+    whole = numbered.groupBy("file", "record").agg(F.bool_or("heading").alias("heading"), F.aggregate(pieces, F.lit(b""), lambda a, p: F.concat(a, p.text)).alias("text"))
+    return whole.filter(~F.col("heading")).select("text").mapInArrow(reader.texts, "cells array<string>")
+
+
+class _Reader:
+    """Cuts lines of splits into records and these into cells, some thousand lines in a few vector operations."""
+
+    def __init__(self, width: int, delimiter: str, quote: str, header: bool, multi_line: bool, inside: set[tuple[int, int]]) -> None:
+        self.width, self.delimiter, self.quote = width, ord(delimiter), ord(quote)
+        self.header, self.multi_line, self.inside = header, multi_line, inside
+
+    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells of the records that lie within one split."""
+        for _, whole, _ in self._walk(batches):
+            if len(whole):
+                yield pa.RecordBatch.from_arrays([self.cells(whole)], ["cells"])
+
+    def borders(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pieces of records that lie across splits."""
+        for (file, start), _, pieces in self._walk(batches):
+            for kind, heading, text in pieces:
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([start]), pa.array([kind], pa.int32()), pa.array([heading]), pa.array([text.tobytes()], pa.binary())], ["file", "start", "kind", "heading", "text"])
+
+    def texts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells of whole records."""
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([self.cells(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8))], ["cells"])
+
+    def _walk(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], np.ndarray, list]]:
+        """``split, records, pieces``: text of whole records, and at a split's ends the pieces of others."""
+        at, rest, opened, heading = None, np.empty(0, np.uint8), False, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            file, start = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            cuts = (np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1])) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
+                here = int(file[i]), int(start[i])
+                if here != at:
+                    if at is not None:
+                        yield at, rest[:0], self._left(rest, opened, heading)
+                    at, rest, opened, heading = here, rest[:0], here in self.inside, self.header and here[1] == 0
+                text = np.concatenate([rest, _joined(b.column(0).slice(i, j - i))])
+                pieces = []
+                ends = self._ends(text, opened)
+                if opened and len(ends):
+                    pieces = [(_END, False, text[: ends[0]])]
+                    text, ends, opened = text[ends[0] :], ends[1:] - ends[0], False
+                if opened or not len(ends):
+                    rest = text
+                    if pieces:
+                        yield at, text[:0], pieces
+                    continue
+                first = 0
+                if heading:
+                    first, heading = int(ends[0]), False
+                yield at, text[first : ends[-1]], pieces
+                rest = text[ends[-1] :]
+        if at is not None:
+            yield at, rest[:0], self._left(rest, opened, heading)
+
+    def _left(self, rest: np.ndarray, opened: bool, heading: bool) -> list:
+        return [(_MIDDLE if opened else _BEGIN, heading, rest)] if len(rest) else []
+
+    def _ends(self, text: np.ndarray, opened: bool) -> np.ndarray:
+        """Places behind the line ends that end a record."""
+        if not self.multi_line:
+            return np.flatnonzero(text == _LF) + 1
+        within = np.logical_xor.accumulate(text == self.quote) ^ opened
+        return np.flatnonzero((text == _LF) & ~within) + 1
+
+    def cells(self, text: np.ndarray) -> pa.Array:
+        """Lists of cells; NULL where a field is empty and not quoted."""
+        is_quote = text == self.quote
+        line = text == _LF
+        within = np.logical_xor.accumulate(is_quote)  # from an opening quote up to before the closing one
+        if not self.multi_line and within[line].any():
+            self._fail(text, np.flatnonzero(line & within)[0], "a quoted field isn't closed")
+        end = line & ~within
+        bound = end | ((text == self.delimiter) & ~within)
+        cr = np.zeros(len(text), bool)
+        cr[:-1] = (text[:-1] == _CR) & ~within[:-1] & end[1:]
+        opens, closes = is_quote & within, is_quote & ~within
+        after_bound = np.append(True, bound[:-1])  # the first byte of a field
+        again = opens & np.append(False, closes[:-1])  # the second of two quotes, which stand for one
+        before = np.append((bound | cr | is_quote)[1:], True)
+        wrong = (opens & ~after_bound & ~again) | (closes & ~before)
+        if wrong.any():
+            self._fail(text, np.flatnonzero(wrong)[0], "a quoted field stands beside other text, or an unquoted one holds a quote")
+        last = np.flatnonzero(bound)
+        number = np.diff(np.append(-1, np.flatnonzero(end[last])))
+        if (number != self.width).any():
+            k = int(np.flatnonzero(number != self.width)[0])
+            self._fail(text, np.flatnonzero(end)[k], f"{number[k]} fields in place of {self.width}")
+        keep = ~(bound | cr | closes | (opens & ~again))
+        kept = np.cumsum(keep)
+        offset = np.append(0, kept[last])
+        first = np.append(0, last[:-1] + 1)
+        present = (np.diff(offset) > 0) | (text[first] == self.quote)
+        valid = pa.py_buffer(np.packbits(present, bitorder="little").tobytes())
+        values = pa.Array.from_buffers(pa.string(), len(last), [valid, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(text[keep])])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(last) + 1, self.width), pa.int32()), values)
+
+    def _fail(self, text: np.ndarray, at: int, why: str) -> None:
+        begin = max(0, at - 60)
+        raise ValueError(f"{why}: {text[begin : at + 40].tobytes().decode('utf-8', 'replace')!r}")
+
+
+def _joined(lines: pa.Array) -> np.ndarray:
+    """The bytes of lines, each with its line end."""
+    raw = lines.cast(pa.large_binary())
+    size = pc.binary_length(raw).to_numpy(zero_copy_only=False)
+    stop = np.cumsum(size)
+    begin = int(np.frombuffer(raw.buffers()[1], np.int64)[raw.offset])
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[begin : begin + int(stop[-1])] if raw.buffers()[2] else np.empty(0, np.uint8)
+    out = np.full(len(data) + len(lines), _LF, np.uint8)
+    text = np.ones(len(out), bool)
+    text[stop + np.arange(len(lines))] = False
+    out[text] = data
+    return out
 
 
 def _strict(v: Column, f: Field) -> Column:

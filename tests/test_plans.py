@@ -5,7 +5,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from millrace.lineage import discard, materialize, shared_dir, spread
+from millrace.lineage import discard, materialize, scope, scratch, shared_dir, sweep
 from millrace.plans import clickstream, hits_queries
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -66,10 +66,34 @@ def test_the_cluster_names_the_folder():
         shared_dir(SimpleNamespace(conf={}, sparkContext=context))
 
 
-def test_small_inputs_spread_and_large_ones_don_t(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
-    assert spread(spark.range(10**9).coalesce(1)).rdd.getNumPartitions() == 1
+def test_intermediate_tables_go_with_their_scope(spark):
+    kept = materialize(spark.range(3))
+    with scope():
+        inside = materialize(spark.range(4))
+        path = scratch(spark)
+        spark.range(2).write.parquet(path)
+        assert inside.count() == 4
+    assert kept.count() == 3
+    for gone in (inside._millrace_path, path):
+        with pytest.raises(Exception):
+            spark.read.parquet(gone)
+    discard(kept)
+
+
+def test_tables_of_killed_drivers_are_swept(spark):
+    old = materialize(spark.range(3))
+    assert sweep(spark, hours=1) == 0 and old.count() == 3
+    assert sweep(spark, hours=-1) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(old._millrace_path)
+
+
+@needs
+def test_the_count_of_a_table_comes_from_its_footers(spark):
+    from millrace.sources.storage import count_rows
+
+    text = count_rows(spark, f"{DIR}/hits.parquet")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in text or "PushedAggregation: [COUNT(" in text
 
 
 def test_queries_take_other_tables(spark):

@@ -2,22 +2,25 @@ import datetime as dt
 import math
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from conftest import rows
 from millrace import cli, convert
 from millrace.plans.op_queries import QUERIES
 from millrace.schema import Field, TableSchema, parse_schema, read_schema, render_schema, write_schema
 from millrace.sources.csv_io import csv_lines, read_csv, write_csv
-from millrace.sources.storage import read_table, row_count, table_stats, write_table
+from millrace.sources.files import list_files, read_bytes, write_bytes
+from millrace.sources.storage import count_rows, read_table, row_count, table_schema, table_stats, write_table
 
 
 def test_schema_file(tmp_path):
-    s = parse_schema("id,int64\nname,string,nullable\nmoney,double\nx,char,true\ny,bool,\n")
-    assert [f.nullable for f in s.fields] == [False, True, False, True, False]
-    assert render_schema(s) == "id,int64\nname,string,nullable\nmoney,double\nx,char,nullable\ny,bool\n"
+    s = parse_schema('plot,int32\n"crop, main",string,true\nyield,double,nullable\nkind,char\ntilled,bool,no\nsown,date,\n')
+    assert [f.nullable for f in s.fields] == [False, True, True, False, False, False]
+    assert render_schema(s) == 'plot,int32\n"crop, main",string,nullable\nyield,double,nullable\nkind,char\ntilled,bool\nsown,date\n'
     write_schema(s, str(tmp_path / "s"))
-    assert read_schema(str(tmp_path / "s")) == s and s["money"] == Field("money", "double")
-    for bad in ("a\n", "a,kamzoner\n", "a,int64\nA,string\n"):
+    assert read_schema(str(tmp_path / "s")) == s and s["kind"] == Field("kind", "char")
+    for bad in ("plot\n", "plot,integer\n", "plot,int64\nPlot,string\n"):
         with pytest.raises(ValueError):
             parse_schema(bad)
 
@@ -33,9 +36,14 @@ S2 = [("a", "string", True), ("b", "string", True)]
 @pytest.mark.parametrize(
     "text, fields, kw, want",
     [
-        ('"hello world","this is ""test"""\n', S2, {}, [("hello world", 'this is "test"')]),
-        ('"1\n2",aboba\n', S2, {}, [("1\n2", "aboba")]),
-        (',word,\n', [*S2, ("c", "string", False)], {}, [(None, "word", "")]),
+        ('"4"" pipe, bent",plain\n', S2, {}, [('4" pipe, bent', "plain")]),
+        ('"top\r\nbase",side\nx,y', S2, {}, [("top\r\nbase", "side"), ("x", "y")]),
+        (",left,\n", [*S2, ("c", "string", False)], {}, [(None, "left", "")]),
+        ("\n\nz\n", [("a", "string", True)], {}, [(None,), (None,), ("z",)]),
+        ("h\n1\n", [("a", "int32")], {"header": True, "multi_line": False}, [(1,)]),
+        ('"h\nh",i\n1,2\n', S2, {"header": True}, [("1", "2")]),
+        ("a\x01,\x02\r\r\n", S2, {}, [("a\x01", "\x02\r")]),
+        ("|a,b|;c\n", S2, {"delimiter": ";", "quote": "|"}, [("a,b", "c")]),
         ("a;b\n", S2, {"delimiter": ";"}, [("a", "b")]),
         (',""\n"",\n1,2\n', S2, {}, [(None, ""), ("", None), ("1", "2")]),
         ("true,false\n1,0\n", [("a", "bool"), ("b", "bool")], {}, [(True, False), (True, False)]),
@@ -50,7 +58,7 @@ def test_csv_reads(spark, tmp_path, text, fields, kw, want):
     assert rows(read(spark, tmp_path, text, fields, **kw)) == sorted(want, key=lambda r: tuple((x is not None, str(type(x)), x) for x in r))
 
 
-@pytest.mark.parametrize("text, fields", [("hello?\n", [("a", "int64")]), ("2,3\n", [("a", "int64")]), ("ab\n", [("a", "char")]), ("1\n", S2), (",x\n", [("a", "int32"), ("b", "string")]), ("70000\n", [("a", "int16")])])
+@pytest.mark.parametrize("text, fields", [("4x\n", [("a", "int64")]), ("4,5\n", [("a", "int64")]), ("no\n", [("a", "char")]), ("4\n", S2), ("4,5,6\n", S2), ("\n", S2), ("4,5\n\n", S2), (",x\n", [("a", "int32"), ("b", "string")]), ("70000\n", [("a", "int16")])])
 def test_csv_is_strict(spark, tmp_path, text, fields):
     with pytest.raises(Exception):
         read(spark, tmp_path, text, fields).collect()
@@ -76,12 +84,32 @@ def test_csv_quotes_over_many_splits(spark, tmp_path):
         assert rows(read(spark, tmp_path, "".join(lines), S2)) == sorted((a, b) for a, b in data)
         for broken in ('x,"y"z\n', 'x,"y\n', 'x,y"z"\n'):
             for at in (0, 100, len(lines)):
-                with pytest.raises(ValueError):
-                    read(spark, tmp_path, "".join([*lines[:at], broken, *lines[at:]]), S2)
+                with pytest.raises(Exception):
+                    read(spark, tmp_path, "".join([*lines[:at], broken, *lines[at:]]), S2).collect()
+        assert read(spark, tmp_path, '"h\n' + "h" * 900 + '",i\n' + "".join(lines), S2, header=True).count() == len(data)
+        assert rows(read(spark, tmp_path, f'1,"{"long" * 400}\n"\n2,b\n', S2)) == [("1", "long" * 400 + "\n"), ("2", "b")]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_csv_arguments(spark, tmp_path):
+    for kw in ({"delimiter": "::"}, {"quote": ""}, {"delimiter": "é"}, {"delimiter": '"'}, {"quote": "\n"}):
+        with pytest.raises(ValueError):
+            read(spark, tmp_path, "a,b\n", S2, **kw)
+
+
+TEXT = st.text(alphabet=st.sampled_from('a,"\n\r\x01\x02\0 é日'), max_size=6)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), TEXT), TEXT, st.one_of(st.none(), TEXT)), max_size=12))
+def test_csv_loses_nothing(spark, tmp_path_factory, data):
+    schema = TableSchema.of([("a", "string", True), ("b", "string"), ("c", "string", True)])
+    path = str(tmp_path_factory.mktemp("csv") / "t")
+    write_csv(spark.createDataFrame(data, schema.struct(True)), path, schema)
+    assert rows(read_csv(spark, path, schema)) == rows(spark.createDataFrame(data, schema.struct(True)))
+
+
 def test_csv_lines(spark):
     df = spark.createDataFrame([(1, 3.14, "", None, "a,b", True), (2, float("nan"), "x", "", 'q"\n', None)], "i int, d double, s string, t string, u string, v boolean")
     schema = TableSchema.of([("i", "int32"), ("d", "double"), ("s", "string"), ("t", "string", True), ("u", "string"), ("v", "bool", True)])
@@ -102,9 +130,10 @@ def test_storage(spark, tmp_path):
     df = spark.createDataFrame([(7, "beta"), (3, None), (5, "alpha")], schema.struct()).coalesce(1)
     for codec in ("none", "lz4", "zstd"):
         path = str(tmp_path / codec)
-        write_table(df, path, schema, codec, {"name": "plain", "id": "delta"})
-        assert rows(read_table(spark, path)) == rows(df) and row_count(path) == 3
-        a, b = table_stats(path)
+        write_table(df, path, schema, codec, {"name": "plain", "id": "delta"} if codec != "none" else {"name": "plain"})
+        assert rows(read_table(spark, path)) == rows(df) and row_count(spark, path) == 3 and rows(count_rows(spark, path)) == [(3,)]
+        a, b = table_stats(spark, path)
+        assert ("DELTA_BINARY_PACKED" in a.encodings) == (codec != "none")
         assert (a.low, a.high, a.nulls, b.low, b.high, b.nulls) == (3, 7, 0, "alpha", "beta", 1)
     assert rows(read_table(spark, path, [1])) == [(None,), ("alpha",), ("beta",)]
     assert read_table(spark, path, ["name", 0]).columns == ["name", "id"]
@@ -114,34 +143,54 @@ def test_storage(spark, tmp_path):
         read_table(spark, path, ["x"])
 
 
+def test_the_table_keeps_its_schema(spark, tmp_path):
+    schema = TableSchema.of([("id", "int64"), ("mark", "char", True), ("name", "string"), ("at", "timestamp", True), ("ok", "bool")])
+    df = spark.createDataFrame([(1, "x", "a", dt.datetime(2013, 7, 1), True), (2, None, "", None, False)], schema.struct(True))
+    write_table(df, str(tmp_path / "t"), schema)
+    assert table_schema(read_table(spark, str(tmp_path / "t"))) == schema
+    assert table_schema(read_table(spark, str(tmp_path / "t"), ["mark", 0])).fields == (schema["mark"], schema["id"])
+    assert table_schema(spark.range(1)).fields == (Field("id", "int64", False),)
+    with pytest.raises(Exception):
+        write_table(df.replace("x", "xy"), str(tmp_path / "u"), schema)
+
+
+def test_files(spark, tmp_path):
+    path = str(tmp_path / "d" / "x.bin")
+    write_bytes(spark, path, b"0123456789")
+    assert read_bytes(spark, path) == b"0123456789" and read_bytes(spark, path, 3, 4) == b"3456"
+    write_bytes(spark, str(tmp_path / "d" / "_hidden.bin"), b"")
+    assert [(n.rsplit("/", 1)[1], s) for n, s in list_files(spark, str(tmp_path / "d"), ".bin")] == [("x.bin", 10)]
+    with pytest.raises(ValueError):
+        row_count(spark, path)
+
+
 def test_delta_pages(spark, tmp_path):
     schema = TableSchema.of([("id", "int64"), ("day", "date")])
     df = spark.range(1000).selectExpr("id", "date_add(DATE '2013-07-01', CAST(id AS int)) AS day").coalesce(1)
     write_table(df, str(tmp_path / "t"), schema, "none", {"id": "delta", "day": "frame_of_reference"})
-    assert all("DELTA_BINARY_PACKED" in s.encodings for s in table_stats(str(tmp_path / "t")))
+    assert all("DELTA_BINARY_PACKED" in s.encodings for s in table_stats(spark, str(tmp_path / "t")))
     assert rows(read_table(spark, str(tmp_path / "t"))) == rows(df)
 
 
 def test_run_lengths(spark, tmp_path):
-    """Long runs of a number are ids of a dictionary, those of a boolean need format 2; with strings they stay as they are."""
+    """Long runs of a number are ids of a dictionary, those of a boolean need format 2; beside strings that takes a codec."""
     schema = TableSchema.of([("n", "int64"), ("x", "double"), ("b", "bool")])
     df = spark.range(100_000).selectExpr("id DIV 10000 AS n", "CAST(id DIV 20000 AS double) AS x", "id < 50000 AS b").coalesce(1)
     write_table(df, str(tmp_path / "t"), schema, "none", {"n": "rle", "x": "rle", "b": "rle"})
-    n, x, b = table_stats(str(tmp_path / "t"))
+    n, x, b = table_stats(spark, str(tmp_path / "t"))
     assert "RLE_DICTIONARY" in n.encodings and "RLE_DICTIONARY" in x.encodings and "RLE" in b.encodings and "PLAIN" not in b.encodings
     assert all(s.bytes < 1000 for s in (n, x, b))
     assert rows(read_table(spark, str(tmp_path / "t"))) == rows(df)
     schema = TableSchema.of([*[(f.name, f.type) for f in schema.fields], ("s", "string")])
     df = df.selectExpr("*", "'s' AS s")
-    write_table(df, str(tmp_path / "u"), schema, "none", {"n": "rle", "b": "rle"})
-    assert all(s.bytes < 20_000 for s in table_stats(str(tmp_path / "u")))
+    write_table(df, str(tmp_path / "u"), schema, "zstd", {"n": "rle", "b": "rle", "s": "plain"})
     assert rows(read_table(spark, str(tmp_path / "u"))) == rows(df)
 
 
 def test_delta_round_trip_has_delta_pages(spark, tmp_path):
     spark.range(1000).selectExpr("id AS watchid", "id AS userid", "DATE '2013-07-01' AS eventdate", "timestamp_ntz '2013-07-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS eventtime", "CAST(id DIV 100 AS int) AS regionid").coalesce(1).write.parquet(str(tmp_path / "hits.parquet"))
     df = QUERIES["io_parquet_roundtrip_delta"](spark, str(tmp_path))
-    pages = {s.column: s.encodings for f in df.inputFiles() for s in table_stats(f.removeprefix("file://"))}
+    pages = {s.column: s.encodings for f in df.inputFiles() for s in table_stats(spark, f)}
     assert "DELTA_BINARY_PACKED" in pages["eventtime"] and "DELTA_BINARY_PACKED" in pages["eventdate"]
     assert rows(df) == rows(spark.read.parquet(str(tmp_path / "hits.parquet")))
 
@@ -154,29 +203,34 @@ def test_storage_is_strict(spark, tmp_path):
     df = df.selectExpr("CAST(nullif(id, 1) AS long) AS id", "s")
     with pytest.raises(Exception):
         write_table(df, str(tmp_path / "b"), schema)
-    for kw in ({"compression": "x"}, {"encodings": {"id": "dictionary"}}, {"encodings": {"s": "delta"}}, {"encodings": {"s": "x"}}):
+    for kw in ({"compression": "x"}, {"encodings": {"id": "dictionary"}}, {"encodings": {"s": "delta"}}, {"encodings": {"s": "x"}}, {"compression": "none", "encodings": {"id": "delta"}}):
         with pytest.raises(ValueError):
             write_table(df, str(tmp_path / "c"), schema, **kw)
+    with pytest.raises(Exception):
+        write_table(df.selectExpr("-5L AS id", "s"), str(tmp_path / "d"), schema, encodings={"id": "bit_packing"})
 
 
 def test_stats_leave_out_nan(spark, tmp_path):
     schema = TableSchema.of([("x", "double", True)])
     write_table(spark.createDataFrame([(5.0,), (None,)], "x double").coalesce(1), str(tmp_path / "t"), schema)
-    (s,) = table_stats(str(tmp_path / "t"))
+    (s,) = table_stats(spark, str(tmp_path / "t"))
     assert (s.low, s.high, s.nulls) == (5.0, 5.0, 1)
     write_table(spark.createDataFrame([(math.nan,)], "x double").coalesce(1), str(tmp_path / "u"), schema)
-    (s,) = table_stats(str(tmp_path / "u"))
+    (s,) = table_stats(spark, str(tmp_path / "u"))
     assert s.low is None
 
 
 def test_converter(spark, tmp_path):
-    (tmp_path / "s").write_text("id,int64\nname,string,nullable\n")
-    (tmp_path / "in.csv").write_text('1,"a,b"\n2,\n3,""\n')
+    (tmp_path / "s").write_text("id,int64\nname,string,nullable\nmark,char\n")
+    (tmp_path / "in.csv").write_text('1,"a,b",x\n2,,y\n3,"",z\n')
     args = ["--schema", str(tmp_path / "s")]
     assert convert.main(["--mode", "csv2columnar", *args, "--input", str(tmp_path / "in.csv"), "--output", str(tmp_path / "t")]) == 0
     assert convert.main(["--mode", "columnar2csv", "--schema", str(tmp_path / "s2"), "--input", str(tmp_path / "t"), "--output", str(tmp_path / "out")]) == 0
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
-    assert sorted(text.split("\n")) == sorted(['1,"a,b"', "2,", '3,""', ""])
+    assert sorted(text.split("\n")) == sorted(['1,"a,b",x', "2,,y", '3,"",z', ""])
+    assert (tmp_path / "s2").read_text() == (tmp_path / "s").read_text()
+    assert convert.main(["--mode", "csv2columnar", *args, "--single-line", "--input", str(tmp_path / "in.csv"), "--output", str(tmp_path / "t2")]) == 0
+    assert rows(read_table(spark, str(tmp_path / "t2"))) == rows(read_table(spark, str(tmp_path / "t")))
     assert convert.main(["--mode", "csv2columnar", *args, "--input", str(tmp_path / "none.csv"), "--output", str(tmp_path / "u")]) == 1
 
 
