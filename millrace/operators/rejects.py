@@ -61,7 +61,8 @@ def _value(cell: Column, quote: str) -> Column:
 
 def _date(v: Column) -> Column:
     """A day past the month's end runs into the next month."""
-    return F.date_add(F.make_date(v.substr(1, 4).cast("int"), v.substr(6, 2).cast("int"), F.lit(1)), v.substr(9, 2).cast("int") - 1)
+    late = F.date_add(F.make_date(v.substr(1, 4).cast("int"), v.substr(6, 2).cast("int"), F.lit(1)), v.substr(9, 2).cast("int") - 1)
+    return F.coalesce(v.try_cast("date"), late)
 
 
 _DAY = r"[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
@@ -72,14 +73,14 @@ def fits(v: Column, kind: str) -> Column:
     """Whether a present value can be read as a type."""
     if kind in _INT_RANGE:
         low, high = _INT_RANGE[kind]
-        n = v.try_cast("bigint")
-        return v.rlike(r"\A-?[0-9]+\z") & F.coalesce(n.between(low, high), F.lit(False))
+        n = v.try_cast("bigint")  # a value that comes out as it went in needs no pattern
+        return F.coalesce(n.between(low, high), F.lit(False)) & ((n.cast("string") == v) | v.rlike(r"\A-?[0-9]+\z"))
     if kind == "double":
         return v.rlike(r"(?i)\A[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\z") & ~(v.rlike("[0-9]") & F.coalesce(F.abs(v.try_cast("double")) == float("inf"), F.lit(True)))
     if kind == "bool":
         return F.lower(v).isin("1", "0", "true", "false")
     if kind == "date":
-        return v.rlike(rf"\A{_DAY}\z")
+        return F.coalesce(v.try_cast("date").cast("string") == v, F.lit(False)) | v.rlike(rf"\A{_DAY}\z")
     if kind == "timestamp":
         return v.rlike(rf"\A{_DAY}[ T]{_CLOCK}\z")
     if kind == "char":
@@ -93,7 +94,7 @@ def typed(v: Column, kind: str) -> Column:
     if kind == "date":
         return _date(v)
     if kind == "timestamp":
-        return F.concat(_date(v).cast("string"), F.lit(" "), v.substr(12, 8)).cast("timestamp_ntz")
+        return F.coalesce(v.try_cast("timestamp_ntz"), F.concat(_date(v).cast("string"), F.lit(" "), v.substr(12, 8)).cast("timestamp_ntz"))
     return v if kind in ("string", "char") else v.cast(TYPES[kind])
 
 

@@ -52,7 +52,7 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: TableSchema, de
 def _splits_inside(spark: SparkSession, path: str | list[str], quote: str) -> set[tuple[int, int]]:
     """Splits that begin inside a quoted field, by a count of the quotes in each; one row a split comes to the driver."""
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
-    quotes = F.length("value") - F.length(F.translate("value", quote, ""))
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit(quote), F.lit("")))
     counted = spark.read.option("lineSep", "\n").text(path).select(*where, quotes.alias("n")).groupBy("file", "start").agg(F.sum("n").alias("n"))
     opened: dict[str, bool] = {}
     found = set()
@@ -227,8 +227,7 @@ def csv_lines(df: DataFrame, schema: TableSchema | None = None, delimiter: str =
         if not isinstance(f.dataType, T.StringType):  # nothing to quote
             cells.append(F.coalesce(s, F.lit("")))
             continue
-        marks = delimiter + quote + "\n\r"
-        risky = F.translate(s, marks, "") != s
+        risky = s.contains(delimiter) | s.contains(quote) | s.contains("\n") | s.contains("\r")
         cell = F.when(risky, F.concat(F.lit(quote), F.replace(s, F.lit(quote), F.lit(quote * 2)), F.lit(quote))).otherwise(s)
         if declared.get(f.name.lower(), f.nullable):
             cell = F.when(s == "", F.lit(quote * 2)).otherwise(cell)
