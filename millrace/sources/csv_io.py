@@ -5,6 +5,7 @@ For input that may hold broken records see :mod:`millrace.operators.rejects`, wh
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.rejects import fits, typed
-from millrace.schema import TYPES, Field, TableSchema
+from millrace.schema import Field, TableSchema
 
 _LF, _CR = 10, 13
 #: What a split of a file sends besides whole records: the end of one begun before, the beginning of one, the middle.
@@ -28,8 +28,8 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: TableSchema, de
     An unquoted empty field is NULL in a nullable column, ``''`` in another string column and an error elsewhere; a
     quoted empty field is ``''``. It is an error if a quoted field isn't closed or stands beside other text, if an
     unquoted field holds a quote, if a record has the wrong number of fields (an empty line is one empty field), and if
-    a value can't be read; columns that a query doesn't use aren't converted. One carriage return before a line end
-    isn't part of the record. With ``header`` the first record of each file is left out.
+    a value can't be read. One carriage return before a line end isn't part of the record. With ``header`` the first
+    record of each file is left out. Cells are cut and converted in Arrow batches, column by column.
 
     Files are split and read in parallel. With ``multi_line`` a quoted field may hold line ends: a first pass over the
     text counts the quotes of each split, so every split knows whether it begins inside a field (the driver gets one row
@@ -42,11 +42,9 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: TableSchema, de
     where = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
     lines = spark.read.option("lineSep", "\n").text(path).select("value", *where)
     inside = _splits_inside(spark, path, quote) if multi_line else set()
-    reader = _Reader(len(schema.fields), delimiter, quote, header, multi_line, inside)
-    records = lines.mapInArrow(reader.rows, "cells array<string>")
-    if inside:
-        records = records.union(_across(lines.mapInArrow(reader.borders, _BORDER), reader))
-    return records.select([_strict(F.get("cells", F.lit(i)), f).alias(f.name) for i, f in enumerate(schema.fields)])
+    reader = _Reader(schema, delimiter, quote, header, multi_line, inside)
+    rows = lines.mapInArrow(reader.rows, schema.struct(True))
+    return rows.union(_across(lines.mapInArrow(reader.borders, _BORDER), reader)) if inside else rows
 
 
 def _splits_inside(spark: SparkSession, path: str | list[str], quote: str) -> set[tuple[int, int]]:
@@ -75,21 +73,21 @@ def _across(borders: DataFrame, reader: _Reader) -> DataFrame:
     numbered = borders.withColumn("record", F.sum((F.col("kind") == _BEGIN).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     pieces = F.array_sort(F.collect_list(F.struct("start", "kind", "text")))
     whole = numbered.groupBy("file", "record").agg(F.bool_or("heading").alias("heading"), F.aggregate(pieces, F.lit(b""), lambda a, p: F.concat(a, p.text)).alias("text"))
-    return whole.filter(~F.col("heading")).select("text").mapInArrow(reader.texts, "cells array<string>")
+    return whole.filter(~F.col("heading")).select("text").mapInArrow(reader.texts, reader.schema.struct(True))
 
 
 class _Reader:
     """Cuts lines of splits into records and these into cells, some thousand lines in a few vector operations."""
 
-    def __init__(self, width: int, delimiter: str, quote: str, header: bool, multi_line: bool, inside: set[tuple[int, int]]) -> None:
-        self.width, self.delimiter, self.quote = width, ord(delimiter), ord(quote)
+    def __init__(self, schema: TableSchema, delimiter: str, quote: str, header: bool, multi_line: bool, inside: set[tuple[int, int]]) -> None:
+        self.schema, self.width, self.delimiter, self.quote = schema, len(schema.fields), ord(delimiter), ord(quote)
         self.header, self.multi_line, self.inside = header, multi_line, inside
 
     def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells of the records that lie within one split."""
+        """The records that lie within one split, typed."""
         for _, whole, _ in self._walk(batches):
             if len(whole):
-                yield pa.RecordBatch.from_arrays([self.cells(whole)], ["cells"])
+                yield self.typed(whole)
 
     def borders(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The pieces of records that lie across splits."""
@@ -98,10 +96,10 @@ class _Reader:
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([start]), pa.array([kind], pa.int32()), pa.array([heading]), pa.array([text.tobytes()], pa.binary())], ["file", "start", "kind", "heading", "text"])
 
     def texts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells of whole records."""
+        """Whole records, typed."""
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([self.cells(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8))], ["cells"])
+                yield self.typed(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8))
 
     def _walk(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], np.ndarray, list]]:
         """``split, records, pieces``: text of whole records, and at a split's ends the pieces of others."""
@@ -146,8 +144,14 @@ class _Reader:
         within = np.logical_xor.accumulate(text == self.quote) ^ opened
         return np.flatnonzero((text == _LF) & ~within) + 1
 
+    def typed(self, text: np.ndarray) -> pa.RecordBatch:
+        """Records of text as rows."""
+        cells = self.cells(text)
+        places = np.arange(0, len(cells), self.width)
+        return pa.RecordBatch.from_arrays([_column(cells.take(pa.array(places + i)), f) for i, f in enumerate(self.schema.fields)], self.schema.names)
+
     def cells(self, text: np.ndarray) -> pa.Array:
-        """Lists of cells; NULL where a field is empty and not quoted."""
+        """The cells of all records in a row; NULL where a field is empty and not quoted."""
         is_quote = text == self.quote
         line = text == _LF
         within = np.logical_xor.accumulate(is_quote)  # from an opening quote up to before the closing one
@@ -175,8 +179,7 @@ class _Reader:
         first = np.append(0, last[:-1] + 1)
         present = (np.diff(offset) > 0) | (text[first] == self.quote)
         valid = pa.py_buffer(np.packbits(present, bitorder="little").tobytes())
-        values = pa.Array.from_buffers(pa.string(), len(last), [valid, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(text[keep])])
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(last) + 1, self.width), pa.int32()), values)
+        return pa.Array.from_buffers(pa.string(), len(last), [valid, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(text[keep])])
 
     def _fail(self, text: np.ndarray, at: int, why: str) -> None:
         begin = max(0, at - 60)
@@ -197,13 +200,89 @@ def _joined(lines: pa.Array) -> np.ndarray:
     return out
 
 
-def _strict(v: Column, f: Field) -> Column:
-    bad = F.raise_error(F.concat(F.lit(f"column {f.name}: not a {f.type}: "), F.coalesce(v, F.lit("nothing")))).cast(TYPES[f.type])
-    if f.nullable:
-        absent = F.lit(None).cast(TYPES[f.type])
-    else:
-        absent = F.lit("") if f.type == "string" else bad
-    return F.when(v.isNull(), absent).when(fits(v, f.type), typed(v, f.type)).otherwise(bad)
+_ARROW = {"int16": pa.int16(), "int32": pa.int32(), "int64": pa.int64()}
+_REAL = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)$"
+
+
+def _column(cells: pa.Array, f: Field) -> pa.Array:
+    """Cells as values of a column's type; a cell that can't be read is an error."""
+    if cells.null_count and not f.nullable:
+        if f.type == "string":
+            return pc.fill_null(cells, "")
+        raise ValueError(f"column {f.name}: not a {f.type}: nothing")
+    if f.type == "string":
+        return cells
+    present = cells.drop_null()
+    values, good = _READERS[f.type](present, f.type)
+    if not good.all():
+        raise ValueError(f"column {f.name}: not a {f.type}: {present[int(np.flatnonzero(~good)[0])].as_py()!r}")
+    if not cells.null_count:
+        return values
+    there = cells.is_valid().to_numpy(zero_copy_only=False)
+    return values.take(pa.array(np.cumsum(there) - 1, pa.int64(), mask=~there))
+
+
+def _bytes(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The cells' bytes in a row, and where each begins and ends."""
+    at = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1] if len(cells) else np.zeros(1, np.int32)
+    data = cells.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8))[at[0] : at[-1]], at - at[0]
+
+
+def _integers(cells: pa.Array, kind: str) -> tuple[pa.Array, np.ndarray]:
+    data, at = _bytes(cells)
+    plain = ((data >= 48) & (data <= 57)) | (data == 45)
+    good = np.diff(np.append(0, np.cumsum(~plain))[at]) == 0
+    if good.all():
+        try:
+            return cells.cast(_ARROW[kind]), good
+        except pa.ArrowInvalid:
+            pass
+    low, high = -(2 ** (int(kind[3:]) - 1)), 2 ** (int(kind[3:]) - 1) - 1
+    for i, c in enumerate(cells.to_pylist()):  # an error is near: find it
+        good[i] &= bool(re.fullmatch(r"-?[0-9]+", c)) and low <= int(c) <= high
+    return pa.array([int(c) if g else 0 for c, g in zip(cells.to_pylist(), good)], _ARROW[kind]), good
+
+
+def _reals(cells: pa.Array, kind: str) -> tuple[pa.Array, np.ndarray]:
+    good = pc.match_substring_regex(cells, _REAL).to_numpy(zero_copy_only=False)
+    x = np.array([float(c) if g else 0.0 for c, g in zip(cells.to_pylist(), good)])
+    return pa.array(x, pa.float64()), good & ~(np.isinf(x) & pc.match_substring_regex(cells, "[0-9]").to_numpy(zero_copy_only=False))
+
+
+def _bools(cells: pa.Array, kind: str) -> tuple[pa.Array, np.ndarray]:
+    low = pc.ascii_lower(cells)
+    true, false = (pc.is_in(low, pa.array(words)).to_numpy(zero_copy_only=False) for words in (["1", "true"], ["0", "false"]))
+    return pa.array(true), true | false
+
+
+def _chars(cells: pa.Array, kind: str) -> tuple[pa.Array, np.ndarray]:
+    return cells, np.diff(_bytes(cells)[1]) == 1
+
+
+def _times(cells: pa.Array, kind: str) -> tuple[pa.Array, np.ndarray]:
+    """Days, and seconds of timestamps; a day past the month's end runs into the next month."""
+    size = 10 if kind == "date" else 19
+    data, at = _bytes(cells)
+    good = np.diff(at) == size
+    text = data[(at[:-1][good, None] + np.arange(size)).astype(np.int64)].astype(np.int64)
+    digits = [k for k in range(size) if k not in (4, 7, 10, 13, 16)]
+    fine = ((text[:, digits] >= 48) & (text[:, digits] <= 57)).all(axis=1) & (text[:, 4] == 45) & (text[:, 7] == 45)
+    number = lambda *places: sum((text[:, k] - 48) * 10**e for e, k in enumerate(reversed(places)))
+    year, month, day = number(0, 1, 2, 3), number(5, 6), number(8, 9)
+    fine &= (month >= 1) & (month <= 12) & (day >= 1) & (day <= 31)
+    value = ((year - 1970) * 12 + month - 1).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64) + day - 1
+    if kind == "timestamp":
+        hour, minute, second = number(11, 12), number(14, 15), number(17, 18)
+        fine &= ((text[:, 10] == 32) | (text[:, 10] == 84)) & (text[:, 13] == 58) & (text[:, 16] == 58) & (hour <= 23) & (minute <= 59) & (second <= 59)
+        value = (value * 86400 + hour * 3600 + minute * 60 + second) * 1_000_000
+    out = np.zeros(len(cells), np.int64)
+    out[good] = value
+    good[good] = fine
+    return pa.array(out.astype(np.int32), pa.int32()).cast(pa.date32()) if kind == "date" else pa.array(out).cast(pa.timestamp("us")), good
+
+
+_READERS = {"int16": _integers, "int32": _integers, "int64": _integers, "double": _reals, "bool": _bools, "char": _chars, "date": _times, "timestamp": _times}
 
 
 def _rendered(c: Column, kind: T.DataType) -> Column:
