@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from millrace.schema import Field, TableSchema
 
 _LF, _CR = 10, 13
+#: Bytes of text that are cut at a time.
+_PIECE = 1 << 19
 #: What a split of a file sends besides whole records: the end of one begun before, the beginning of one, the middle.
 _END, _BEGIN, _MIDDLE = 1, 2, 3
 
@@ -108,7 +110,8 @@ class _Reader:
             if not b.num_rows:
                 continue
             file, start = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-            cuts = (np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1])) + 1).tolist()
+            size = np.cumsum(pc.binary_length(b.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)) // _PIECE
+            cuts = (np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1]) | (size[1:] != size[:-1])) + 1).tolist()
             for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
                 here = int(file[i]), int(start[i])
                 if here != at:
@@ -174,7 +177,7 @@ class _Reader:
             k = int(np.flatnonzero(number != self.width)[0])
             self._fail(text, np.flatnonzero(end)[k], f"{number[k]} fields in place of {self.width}")
         keep = ~(bound | cr | closes | (opens & ~again))
-        kept = np.cumsum(keep)
+        kept = np.cumsum(keep, dtype=np.int32)
         offset = np.append(0, kept[last])
         first = np.append(0, last[:-1] + 1)
         present = (np.diff(offset) > 0) | (text[first] == self.quote)
@@ -232,7 +235,7 @@ def _bytes(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _integers(cells: pa.Array, kind: str) -> tuple[pa.Array, np.ndarray]:
     data, at = _bytes(cells)
     plain = ((data >= 48) & (data <= 57)) | (data == 45)
-    good = np.diff(np.append(0, np.cumsum(~plain))[at]) == 0
+    good = np.diff(np.append(0, np.cumsum(~plain, dtype=np.int32))[at]) == 0
     if good.all():
         try:
             return cells.cast(_ARROW[kind]), good
