@@ -91,15 +91,18 @@ def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int, full: float = 0.
             put(back, giver)
             stuck[to] = stuck[giver] = False
             continue
-        if len(own) > 1:
-            a, b = np.triu_indices(len(own), 1)
-            sums, first = np.unique(mine[a] + mine[b], return_index=True)
+        if len(own) > 1:  # pairs of sizes: a container holds few different ones, however many items
+            size, first, count_ = np.unique(mine, return_index=True, return_counts=True)
+            a, b = np.triu_indices(len(size))
+            usable = (a != b) | (count_[a] > 1)
+            a, b = a[usable], b[usable]
+            sums, pair = np.unique(size[a] + size[b], return_index=True)
             step = partner(sums, sizes, there)
             if step:
                 back, k = step
-                to = int(bins[back])
-                put(int(own[a[first[k]]]), to)
-                put(int(own[b[first[k]]]), to)
+                to, x, y = int(bins[back]), int(a[pair[k]]), int(b[pair[k]])
+                put(int(own[first[x]]), to)
+                put(int(own[first[y] + (x == y)]), to)
                 put(back, giver)
                 stuck[to] = stuck[giver] = False
                 continue

@@ -134,5 +134,6 @@ class Roller:
         return self.by_length[n]
 
 
+@functools.lru_cache(4096)
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_P), n, 2**64))
