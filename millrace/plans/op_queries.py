@@ -102,6 +102,7 @@ _op("op_global_agg_empty", "hits", "SELECT COUNT(*) AS n, MIN(url) AS m, CAST(SU
 )
 _op("op_sum_double", "lineitem", "SELECT l_returnflag AS f, CAST(ROUND(SUM(l_extendedprice), 2) AS DOUBLE) AS s FROM lineitem GROUP BY 1")(lambda t: group_aggregate(t, {"f": "l_returnflag"}, {"s": F.round(A.sum_double("l_extendedprice"), 2)}))
 _op("op_sum_exact", "lineitem", "SELECT l_returnflag AS f, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS s FROM lineitem GROUP BY 1")(lambda t: group_aggregate(t, {"f": "l_returnflag"}, {"s": A.sum_exact("l_extendedprice", 2)}))
+_op("op_sum_exact_doubles", "lineitem", "SELECT l_returnflag AS f, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS s FROM lineitem GROUP BY 1")(lambda t: group_aggregate(t, {"f": "l_returnflag"}, {"s": F.round(A.sum_exact("l_extendedprice"), 2)}))
 _op("op_sum_date_number", "hits", "SELECT CAST(SUM(eventdate - DATE '1970-01-01') AS BIGINT) AS s FROM hits")(lambda t: global_aggregate(t, {"s": A.sum_int(E.date_number("eventdate"))}))
 
 # ---- grouped aggregation: the key shapes ----
