@@ -113,6 +113,7 @@ def length_bytes(x: Expr) -> Column:
 
 
 def extract_minute(ts: Expr) -> Column:
+    """The minute of the hour, 0 to 59, before 1970 too."""
     return F.minute(_c(ts)).cast("long")
 
 

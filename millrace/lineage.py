@@ -46,8 +46,8 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once as a Parquet table in the shared folder, and read back.
+def materialize(df: DataFrame, folders_by: str | None = None) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder, and read back; with a folder for each value of a column.
 
     Parquet keeps the table far smaller than a serialized-row checkpoint, and readers prune columns of it. Hand the
     result to :func:`discard` as soon as nothing reads it any more, or work in a :func:`scope`; what is left is removed
@@ -55,7 +55,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    w = df.write.option("compression", "zstd")
+    (w.partitionBy(folders_by) if folders_by else w).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path  # type: ignore[attr-defined]
     return out
