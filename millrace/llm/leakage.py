@@ -38,10 +38,14 @@ class SeedFilter:
             h = (h ^ (h >> np.uint64(31))) * _MIX
 
     def add(self, items: list[np.ndarray]) -> None:
-        for v in items:
-            n = min(SEED, len(v))
+        size = np.array([len(v) for v in items], np.int64)
+        flat = np.concatenate(items) if items else np.empty(0, np.uint64)
+        begin = np.cumsum(size) - size
+        for n in set(np.minimum(size, SEED).tolist()) - {0}:
+            of = size >= SEED if n == SEED else size == n
+            places = np.repeat(begin[of] - np.cumsum(size[of] - n + 1) + size[of] - n + 1, size[of] - n + 1) + np.arange((size[of] - n + 1).sum())
             self.lengths.add(n)
-            for at, bit in self._places(windows(v, n)):
+            for at, bit in self._places(windows(flat, n)[places]):
                 np.bitwise_or.at(self.bits, at, bit)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
@@ -191,10 +195,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     hashed = materialize(cut.withColumn("row", F.monotonically_increasing_id()))
     schema = f"doc {doc_kind}, id {kind}, longest long, tiles long, matched long, item_words long, coverage double"
     known = SeedFilter(hashed.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0])
-    blocks = []
-    for block in _blocks(hashed, block_words):
-        known.add(block[1])
-        blocks = [*blocks[-1:], block]  # one block is kept; of more, each is fetched again
+    blocks = dict(_blocks(hashed, block_words))
+    for block in blocks.values():
+        known.add(_fetched(block)[1])
     if not blocks:
         return spark.createDataFrame([], schema).withColumnsRenamed({"doc": doc_id, "id": item_id})
     seeds = spark.sparkContext.broadcast(known)
@@ -202,13 +205,13 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     shared = materialize(given.mapInArrow(_matching(seeds), f"doc {doc_kind}, w array<bigint>"))
     seeds.destroy()
     done: list[DataFrame] = []
-    pending = None
-    for ids, words in blocks if len(blocks) == 1 else _blocks(hashed, block_words):
+    pending, run_id = None, uuid.uuid4().hex
+    for number, block in blocks.items():
         if pending is not None:  # more blocks follow: finish one before the next is fetched
             done.append(materialize(pending[0]))
             pending[1].destroy()
-        block = spark.sparkContext.broadcast((uuid.uuid4().hex, ids, words))
-        pending = shared.mapInArrow(_tiler(block, run, coverage), schema), block
+        held = spark.sparkContext.broadcast((f"{run_id}-{number}", *_fetched(block)))
+        pending = shared.mapInArrow(_tiler(held, run, coverage), schema), held
     done.append(pending[0])
     return functools.reduce(DataFrame.unionByName, done).withColumnsRenamed({"doc": doc_id, "id": item_id})
 
@@ -251,20 +254,26 @@ def _matching(shared):
     return scan
 
 
-def _blocks(hashed: DataFrame, block_words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """Items in blocks of bounded size, each fetched alone."""
+def _blocks(hashed: DataFrame, block_words: int) -> Iterator[tuple[int, DataFrame]]:
+    """Items in blocks of bounded size, each in a folder of its own."""
     parts = hashed.select("row", F.shiftright("row", 33).alias("part"), F.size("w").cast("long").alias("n"))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each written file
     starts = totals.select("part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("start"))
     inner = F.coalesce(F.sum("n").over(before.partitionBy("part").orderBy("row")), F.lit(0))
-    keys = materialize(parts.withColumn("inner", inner).join(starts, "part").select("row", F.floor((F.col("start") + F.col("inner")) / block_words).alias("block")))
-    for r in keys.select("block").distinct().orderBy("block").toLocalIterator():
-        table = hashed.join(keys.filter(F.col("block") == r.block), "row").select("id", "w").toArrow()
-        ids = table.column("id").combine_chunks()
-        lists = table.column("w").combine_chunks()
-        flat, size = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False)
-        yield ids, np.split(flat, np.cumsum(size)[:-1])
+    block = F.floor((F.col("start") + F.col("inner")) / block_words).alias("block")
+    keys = parts.withColumn("inner", inner).join(starts, "part").select("row", block)
+    table = materialize(hashed.join(keys, "row").repartition("block").select("id", "w", "block"), "block")
+    for r in table.select("block").distinct().orderBy("block").toLocalIterator():
+        yield r.block, table.filter(F.col("block") == r.block).select("id", "w")
+
+
+def _fetched(block: DataFrame) -> tuple[pa.Array, list[np.ndarray]]:
+    """The ids and word hashes of one block."""
+    table = block.toArrow()
+    ids, lists = table.column("id").combine_chunks(), table.column("w").combine_chunks()
+    flat, size = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False)
+    return ids, np.split(flat, np.cumsum(size)[:-1])
 
 
 _indexed: dict[str, Index] = {}
