@@ -81,7 +81,13 @@ class Sketch:
 
 
 def _sketched(df: DataFrame, fields: list[str], sketch: Sketch) -> np.ndarray:
-    """Sketches of hash columns, added up over all partitions: ``[field, row, bucket, counter]``."""
+    """Sketches of hash columns, added up over all partitions: ``[field, row, bucket, counter]``.
+
+    A task sends a sketch however little it read, so splits are read several to a task where there are far more of them
+    than cores and shuffle partitions.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros((len(fields), sketch.depth, sketch.width, 1 + _BITS), np.int64)
@@ -94,7 +100,7 @@ def _sketched(df: DataFrame, fields: list[str], sketch: Sketch) -> np.ndarray:
         used = np.flatnonzero(flat[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(flat[used, k]) for k in range(1 + _BITS)]], ["slot", *[f"c{k}" for k in range(1 + _BITS)]])
 
-    parts = df.mapInArrow(fill, "slot long, " + ", ".join(f"c{k} long" for k in range(1 + _BITS)))
+    parts = df.coalesce(tasks).mapInArrow(fill, "slot long, " + ", ".join(f"c{k} long" for k in range(1 + _BITS)))
     total = parts.groupBy("slot").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(1 + _BITS)])
     out = np.zeros((len(fields) * sketch.depth * sketch.width, 1 + _BITS), np.int64)
     table = total.toArrow()  # at most one row for each slot of the fixed-size sketch
