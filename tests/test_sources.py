@@ -131,15 +131,15 @@ def test_csv_there_and_back(spark, tmp_path):
 
 def test_storage(spark, tmp_path):
     schema = TableSchema.of([("id", "int64"), ("name", "string", True)])
-    df = spark.createDataFrame([(7, "beta"), (3, None), (5, "alpha")], schema.struct()).coalesce(1)
+    df = spark.createDataFrame([(11, "oak"), (-4, None), (8, "ash")], schema.struct()).coalesce(1)
     for codec in ("none", "lz4", "zstd"):
         path = str(tmp_path / codec)
         write_table(df, path, schema, codec, {"name": "plain", "id": "delta"} if codec != "none" else {"name": "plain"})
         assert rows(read_table(spark, path)) == rows(df) and row_count(spark, path) == 3 and rows(count_rows(spark, path)) == [(3,)]
         a, b = table_stats(spark, path)
         assert ("DELTA_BINARY_PACKED" in a.encodings) == (codec != "none")
-        assert (a.low, a.high, a.nulls, b.low, b.high, b.nulls) == (3, 7, 0, "alpha", "beta", 1)
-    assert rows(read_table(spark, path, [1])) == [(None,), ("alpha",), ("beta",)]
+        assert (a.low, a.high, a.nulls, b.low, b.high, b.nulls) == (-4, 11, 0, "ash", "oak", 1)
+    assert rows(read_table(spark, path, [1])) == [(None,), ("ash",), ("oak",)]
     assert read_table(spark, path, ["name", 0]).columns == ["name", "id"]
     with pytest.raises(IndexError):
         read_table(spark, path, [2])
