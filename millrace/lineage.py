@@ -77,6 +77,8 @@ def sweep(spark: SparkSession, hours: float = 48) -> int:
     """Remove intermediate tables of drivers that were killed: those in the shared folder not touched for some hours."""
     root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
     old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith(_PREFIX) and f.getModificationTime() < (time.time() - hours * 3600) * 1000]
     for path in old:
         fs.delete(path, True)
