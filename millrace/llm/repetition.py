@@ -101,6 +101,8 @@ _GROUPS = ("lang_key", "source_key")
 
 def _measured(df: DataFrame, keep: Sequence[str], lang: str, source: str, text: str, n: int) -> tuple[DataFrame, DataFrame]:
     """Shares with their groups, measured once and written, and the groups' sketches."""
+    if {c.lower() for c in keep} & {*_GROUPS, "threshold"}:
+        raise ValueError("lang_key, source_key and threshold are names of the result")
     given = df.withColumns({"lang_key": language_key(F.col(lang)), "source_key": F.coalesce(F.col(source), F.lit(""))})
     shares = materialize(repetition(given, [*keep, *_GROUPS], text, n))
     return shares, materialize(share_sketches(shares, _GROUPS))

@@ -76,6 +76,14 @@ def test_flags(spark):
     assert rows(flag_repetitive(df.limit(0), ["id"])) == []
 
 
+def test_names_of_the_result(spark):
+    df = spark.createDataFrame([(1, "en", "b", "x y", "k", 9.0)], "id int, lang string, source string, text string, lang_key string, threshold double")
+    assert rows(flag_repetitive(df, ["id"])) == [] and rows(group_thresholds(df)) == [("en", "b", 1, 0.0)]
+    for taken in ("lang_key", "threshold", "share"):
+        with pytest.raises(ValueError):
+            flag_repetitive(df.withColumnRenamed("id", taken) if taken == "share" else df, [taken])
+
+
 def test_planted_groups_with_habits_of_their_own(spark):
     """Verses repeat by habit, prose doesn't: the same share stands out in one source alone."""
     def doc(i, k):
