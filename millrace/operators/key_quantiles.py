@@ -67,13 +67,15 @@ def key_quantiles(df: DataFrame, keys: Sequence[str], value: Expr, quantiles: Se
     while True:
         solved.append(found.filter("s IS NOT NULL").select(*ks, "i", "s"))
         open_ = found.filter("s IS NULL")
-        intervals = open_.groupBy(*ks, "lo", "hi", "n").agg(F.collect_list(F.struct("i", "r")).alias("asked"))  # at most one for each quantile
-        few, many = (materialize(intervals.filter(c)) for c in (F.col("n") <= fanout, F.col("n") > fanout))
+        asked = F.collect_list(F.struct("i", "r")).alias("asked")  # at most one for each quantile
+        intervals = materialize(open_.groupBy(*ks, "lo", "hi", "n").agg(asked).withColumn("many", F.col("n") > fanout), "many")
+        kinds = {r.many for r in intervals.select("many").distinct().collect()}
+        few, many = (intervals.filter(c).drop("many") for c in (~F.col("many"), F.col("many")))
         inside = lambda some: given.join(some, ks).filter(F.col("v").between(F.col("lo"), F.col("hi")))
-        if not few.isEmpty():
+        if False in kinds:
             sorted_ = inside(few).groupBy(*ks, "lo").agg(F.array_sort(F.collect_list("v")).alias("vs"), F.first("asked").alias("asked"))
             solved.append(materialize(sorted_.select(*ks, "vs", F.explode("asked").alias("t")).select(*ks, "t.i", F.element_at("vs", F.col("t.r").cast("int")).alias("s"))))
-        if many.isEmpty():
+        if True not in kinds:
             break
         finer = inside(many).select(*ks, F.col("lo").alias("g"), _bucket(fanout).alias("b"), "v")
         upto = Window.partitionBy(*ks, "g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
